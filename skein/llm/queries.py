@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skein.llm.html import op9_html
+from skein.llm.langid import op4_langid
+from skein.llm.quality import op3_quality
 from skein.llm.secrets import op8_secrets
 from skein.llm.simhash import op1_simhash
 from skein.llm.warc import OP10_SQL, op10_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_quality": op3_quality,
+    "op4_langid": op4_langid,
     "op8_secrets": op8_secrets,
+    "op9_html": op9_html,
     "op10_warc": op10_warc,
 }
 
