@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skein.llm.decontaminate import op5_decontaminate
 from skein.llm.html import op9_html
 from skein.llm.langid import op4_langid
 from skein.llm.quality import op3_quality
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_quality": op3_quality,
     "op4_langid": op4_langid,
+    "op5_decontaminate": op5_decontaminate,
     "op8_secrets": op8_secrets,
     "op9_html": op9_html,
     "op10_warc": op10_warc,
