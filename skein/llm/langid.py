@@ -22,7 +22,8 @@ DIM = 2048
 LETTERS = 1023
 SEED = 11
 #: Rows that are learned from, per language, at most.
-SAMPLE_PER_LANG = 500
+SAMPLE_PER_LANG = 512
+SHARES = 64
 #: Letters of the texts that are counted together.
 TOGETHER = 1_000_000
 UNKNOWN = "und"
@@ -103,12 +104,14 @@ def prototypes(texts: list[str | None], langs: list[str]) -> tuple[list[str], np
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> tuple[list[str], np.ndarray]:
-    """Prototypes from at most per_lang rows of each language (smallest id hash), none from the held-out fold."""
+    """Prototypes from at most about per_lang rows of each language (smallest id hashes), none from the held-out fold."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), held_out(id_col).alias("held"))
     known = rows.where("lang is not null and not held")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    # the rank's limit is applied before the exchange too, so a common language doesn't meet in one task
-    ids = known.select("id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang)
+    # every language is dealt to SHARES keys with a limit each, which is applied before the exchange too, so the rows of
+    # a common language don't meet in one task
+    order = Window.partitionBy("lang", "share").orderBy(F.xxhash64("id"), "id")
+    share = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SHARES)).alias("share")
+    ids = known.select("id", "lang", share).withColumn("k", F.row_number().over(order)).where(F.col("k") <= -(-per_lang // SHARES))
     ids = materialize(ids.select(F.col("id").alias("picked_id"), F.col("lang").alias("picked_lang")), "sample")
     got = known.join(ids, (F.col("id").eqNullSafe(F.col("picked_id"))) & (F.col("lang") == F.col("picked_lang"))).select("text", "lang", "id")
     got = got.dropDuplicates(["id", "lang"]).orderBy("lang", "id").collect()
