@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from skein.llm.decontaminate import op5_decontaminate
 from skein.llm.html import op9_html
 from skein.llm.langid import op4_langid
+from skein.llm.neighbours import op2_neighbours
 from skein.llm.quality import op3_quality
 from skein.llm.secrets import op8_secrets
 from skein.llm.simhash import op1_simhash
@@ -16,6 +17,7 @@ from skein.llm.warc import OP10_SQL, op10_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_neighbours": op2_neighbours,
     "op3_quality": op3_quality,
     "op4_langid": op4_langid,
     "op5_decontaminate": op5_decontaminate,
