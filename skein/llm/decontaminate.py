@@ -9,7 +9,7 @@ covers the passage only in part, as in a paraphrase, the passage's last words (i
 from __future__ import annotations
 
 import math
-import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from typing import Any
@@ -38,12 +38,13 @@ PAIRS = 0.45
 PAIR_SLOTS = 1 << 22
 REMEMBERED = 600_000
 
-_EDGE = re.compile(r"^\W+|\W+$")
+#: What is cut from the ends of a word: ASCII and common typographic marks.
+MARKS = string.punctuation + "«»“”„‘’‚…–—·•¡¿"
 
 
 def normal(word: str) -> str:
     """A word as compared: lower case, without marks at its ends ('' if nothing is left)."""
-    return _EDGE.sub("", word.lower())
+    return word.lower().strip(MARKS)
 
 
 def passages_of(text: str | None) -> list[list[str]]:
