@@ -26,6 +26,24 @@ def get_session(master: str | None = None, app: str = "skein", **conf: str) -> S
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the executors once a context, for clusters and callers where they can't import it."""
+    import atexit
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(ship, "done", None) != sc.applicationId:
+        here = Path(__file__).resolve().parent
+        tmp = tempfile.mkdtemp(prefix="skein-ship-")  # the driver serves it to the executors as long as it runs
+        atexit.register(shutil.rmtree, tmp, ignore_errors=True)
+        copy = Path(tmp, "tree", here.name)
+        shutil.copytree(here, copy, ignore=shutil.ignore_patterns("__pycache__"))
+        sc.addPyFile(shutil.make_archive(f"{tmp}/{here.name}", "zip", copy.parent))
+        ship.done = sc.applicationId
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named table of a data folder, as a lazy Parquet scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
