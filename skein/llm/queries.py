@@ -15,6 +15,7 @@ from skein.llm.quality import op3_quality
 from skein.llm.secrets import op8_secrets
 from skein.llm.sentencepiece_scan import op7_sentencepiece
 from skein.llm.simhash import op1_simhash
+from skein.llm.substrings import op6_substrings
 from skein.llm.warc import OP10_SQL, op10_warc
 from skein.session import ship
 
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_langid": op4_langid,
     "op5_decontaminate": op5_decontaminate,
+    "op6_substrings": op6_substrings,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_secrets": op8_secrets,
     "op9_html": op9_html,
