@@ -12,7 +12,7 @@ from skein.llm.html import op9_html
 from skein.llm.langid import op4_langid
 from skein.llm.neighbours import op2_neighbours
 from skein.llm.quality import op3_quality
-from skein.llm.secrets import op8_secrets
+from skein.llm.secrets import OP8_SQL, op8_secrets
 from skein.llm.sentencepiece_scan import op7_sentencepiece
 from skein.llm.simhash import op1_simhash
 from skein.llm.substrings import op6_substrings
@@ -43,4 +43,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}
 
-ORACLE_SQL: dict[str, str] = {"op10_warc": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_secrets": OP8_SQL, "op10_warc": OP10_SQL}

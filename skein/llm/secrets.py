@@ -167,3 +167,23 @@ def op8_secrets(spark, sf_dir: str) -> DataFrame:
     from skein.session import table
 
     return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def _duck_kind(kind: int, pattern: str, group: int) -> str:
+    p = pattern.replace("'", "''")
+    return f"SELECT r, {kind} AS kind, regexp_extract_all(t, '{p}', 0) AS hits, regexp_extract_all(t, '{p}', {group}) AS vals, regexp_split_to_array(t, '{p}') AS gaps FROM d WHERE regexp_matches(t, '{p}')"
+
+
+OP8_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner FROM documents),
+s AS ({" UNION ALL ".join(_duck_kind(k, p, g) for k, p, g in ((0, ASSIGN, 2), (1, ACCESS, 0), (2, HEX, 0), (3, VENDOR, 0)))}),
+e AS (SELECT r, kind, hits, vals, gaps, unnest(range(1, len(hits) + 1)) AS i FROM s),
+x AS (SELECT r, kind, vals[i] AS v, CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS BIGINT) AS a, length(hits[i]) AS n FROM e),
+f AS (SELECT x.*, d.owner, sha256(v) AS h FROM x JOIN d ON x.r = d.r WHERE kind > 0 OR length(v) >= {ASSIGN_LEAST}),
+o AS (SELECT h, count(DISTINCT owner) < {COPIED_OWNERS} AS live FROM f GROUP BY h),
+g AS (SELECT f.r, f.kind, f.a, concat({list(KINDS)}[f.kind + 1], ':', f.a, ':', f.a + f.n) AS span, o.live FROM f JOIN o ON f.h = o.h),
+m AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3 AND live) AS n_vendor, count(*) FILTER (live) AS n_live,
+  coalesce(string_agg(span, ',' ORDER BY a, kind) FILTER (kind < {BASE}), '') AS base, coalesce(string_agg(span, ',' ORDER BY a, kind) FILTER (kind < {BASE} OR live), '') AS spans FROM g GROUP BY r)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_vendor, 0) AS n_vendor, coalesce(n_live, 0) AS n_live,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN m ON d.r = m.r
+"""
