@@ -161,11 +161,13 @@ def flags_for_units(units: DataFrame, flags: DataFrame, make_failed: DataFrame)
 def scopes_of(spans: DataFrame) -> DataFrame:
     """(unit_id, seq, parent_seq) for pre-order spans (unit_id, seq, count): the nearest span before that still covers
     seq, null at the top. Found by depth: the last opener one level up."""
-    ends = spans.select("unit_id", (F.col("seq") + F.col("count") + 1).alias("at"), F.lit(-1).alias("d"), F.lit(None).cast("long").alias("seq"))
-    starts = spans.select("unit_id", F.col("seq").alias("at"), F.lit(1).alias("d"), F.col("seq").cast("long").alias("seq"))
-    w = Window.partitionBy("unit_id").orderBy("at", "d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    e = starts.unionByName(ends).withColumn("depth", F.sum("d").over(w)).where("d = 1")
+    # rows are doubled by explode, not by a union of the frame with itself: see the README on unions
+    edge = lambda at, d: F.struct(at.cast("long").alias("at"), F.lit(d).alias("d"))
+    both = spans.select("unit_id", F.col("seq").cast("long").alias("seq"), F.explode(F.array(edge(F.col("seq"), 1), edge(F.col("seq") + F.col("count") + 1, -1))).alias("x"))
+    w = Window.partitionBy("unit_id").orderBy("x.at", "x.d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    e = both.withColumn("depth", F.sum("x.d").over(w)).where("x.d = 1")
     # at one depth spans follow each other, so the parent is the last of the level above
-    up = e.select("unit_id", "seq", F.col("depth"), F.lit(True).alias("own")).unionByName(e.select("unit_id", "seq", (F.col("depth") + 1).alias("depth"), F.lit(False).alias("own")))
-    w2 = Window.partitionBy("unit_id", "depth").orderBy("seq", F.desc("own")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return up.withColumn("parent_seq", F.last(F.when(~F.col("own"), F.col("seq")), ignorenulls=True).over(w2)).where("own").select("unit_id", "seq", "parent_seq")
+    level = lambda at, own: F.struct(at.alias("at"), F.lit(own).alias("own"))
+    up = e.select("unit_id", "seq", F.explode(F.array(level(F.col("depth"), True), level(F.col("depth") + 1, False))).alias("y"))
+    w2 = Window.partitionBy("unit_id", "y.at").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return up.withColumn("parent_seq", F.last(F.when(~F.col("y.own"), F.col("seq")), ignorenulls=True).over(w2)).where("y.own").select("unit_id", "seq", "parent_seq")

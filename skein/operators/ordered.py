@@ -47,24 +47,26 @@ def scope_stack(events: DataFrame) -> DataFrame:
 
     An event that closes what was never opened doesn't count. n_inside: openers until the depth falls below its own.
     """
+    # rows are doubled by explode, not by a union of the frame with itself: see the README on unions
     w = Window.partitionBy("unit_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = F.sum("d").over(w)
     low = F.least(F.min("run").over(w), F.lit(0))
-    e = events.withColumn("run", run).withColumn("depth", F.col("run") - low)
-    before = Window.partitionBy("unit_id", "depth").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # the depth an opener reaches is that of its children minus one: the parent is the last opener that reached depth - 1
-    opens = e.where("d = 1").withColumn("n_open", F.row_number().over(Window.partitionBy("unit_id").orderBy("seq")))
-    both = opens.select("unit_id", "seq", "depth", "n_open", F.lit(1).alias("own")).unionByName(opens.select("unit_id", "seq", (F.col("depth") + 1).alias("depth"), "n_open", F.lit(0).alias("own")))
-    parent = both.withColumn("parent_seq", F.last(F.when(F.col("own") == 0, F.col("seq")), ignorenulls=True).over(before)).where("own = 1").select("unit_id", "seq", "parent_seq")
-    # the end of a scope is the first later event of less depth; among events of depth - 1 or the unit's end
-    after = Window.partitionBy("unit_id", "depth").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
-    closes = e.where("d = -1").select("unit_id", "seq", (F.col("depth") + 1).alias("depth"), F.lit(0).alias("own"))
-    marks = opens.select("unit_id", "seq", "depth", F.lit(1).alias("own")).unionByName(closes)
-    end = marks.withColumn("end", F.first(F.when(F.col("own") == 0, F.col("seq")), ignorenulls=True).over(after)).where("own = 1").select("unit_id", "seq", "depth", "end")
-    count = Window.partitionBy("unit_id").orderBy("at", "own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spots = opens.select("unit_id", F.col("seq").alias("at"), F.lit(0).alias("own"), F.lit(None).cast("long").alias("of")).unionByName(end.select("unit_id", F.coalesce("end", F.lit(2**62)).alias("at"), F.lit(1).alias("own"), F.col("seq").cast("long").alias("of")))
-    inside = spots.withColumn("upto", F.sum(1 - F.col("own")).over(count)).where("own = 1").select("unit_id", F.col("of").alias("seq"), "upto")
-    return opens.select("unit_id", "seq", "depth", "n_open").join(parent, ["unit_id", "seq"]).join(inside, ["unit_id", "seq"]).select("unit_id", "seq", "depth", "parent_seq", (F.col("upto") - F.col("n_open")).alias("n_inside"))
+    e = events.withColumn("seq", F.col("seq").cast("long")).withColumn("run", F.sum("d").over(w)).withColumn("depth", F.col("run") - low)
+    opened = F.col("d") == 1
+    e = e.withColumn("n_open", F.count_if(opened).over(w))
+    # an opener's scope ends at the first later event that closes its depth
+    level = F.when(opened, F.col("depth")).otherwise(F.col("depth") + 1)
+    after = Window.partitionBy("unit_id", "level").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    e = e.withColumn("level", level).withColumn("end", F.first(F.when(~opened, F.col("seq")), ignorenulls=True).over(after)).where(opened)
+    # the parent is the last opener one level up
+    rows = e.select("unit_id", "seq", "depth", "n_open", "end", F.explode(F.array(F.struct(F.col("depth").alias("at"), F.lit(True).alias("own")), F.struct((F.col("depth") + 1).alias("at"), F.lit(False).alias("own")))).alias("x"))
+    before = Window.partitionBy("unit_id", "x.at").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("parent_seq", F.last(F.when(~F.col("x.own"), F.col("seq")), ignorenulls=True).over(before)).where("x.own")
+    # openers up to the end, less those up to the opener itself, are inside
+    last = F.coalesce("end", F.lit(2**62))
+    spots = rows.select("unit_id", "seq", "depth", "parent_seq", "n_open", F.explode(F.array(F.struct(F.col("seq").alias("at"), F.lit(1).alias("d")), F.struct(last.alias("at"), F.lit(0).alias("d")))).alias("y"))
+    count = Window.partitionBy("unit_id").orderBy("y.at", F.desc("y.d")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = spots.withColumn("upto", F.sum("y.d").over(count)).where("y.d = 0")
+    return inside.select("unit_id", "seq", "depth", "parent_seq", (F.col("upto") - F.col("n_open")).alias("n_inside"))
 
 
 def bag_swap(old: DataFrame, new: DataFrame) -> DataFrame:

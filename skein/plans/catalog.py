@@ -13,6 +13,7 @@ from skein.functions import positions as O
 from skein.functions import text as X
 from skein.operators import closure, completion, counters, link, lookups, ordered
 from skein.plans.relations import duck_sql, spark_relation
+from skein.session import settle
 from skein.sources import readers
 
 Relation = Callable[[str], DataFrame]
@@ -27,6 +28,7 @@ def query(name: str, sql: str | None = None):
     def put(fn: Callable[[Relation], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             cache: dict[str, DataFrame] = {}
+            settle(spark)
             return fn(lambda x: spark_relation(spark, sf_dir, x, cache))
 
         run.__doc__ = fn.__doc__

@@ -14,7 +14,7 @@ from skein.functions.kinds import nm_kind, nm_style
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """(stream, seq, line) of text files: the file is the stream; lines are numbered within whole files."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("stream"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("stream"), "value")
     return files.select("stream", F.posexplode(F.split("value", "\n", -1)).alias("seq", "line")).select("stream", F.col("seq").cast("long").alias("seq"), "line")
 
 
