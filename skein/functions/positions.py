@@ -49,6 +49,13 @@ def offset_of(lines: DataFrame, probes: DataFrame) -> DataFrame:
     return j.select("probe_id", "file_id", "line", "col", F.when(ok, F.col("begin") + F.col("col")).otherwise(0).cast("long").alias("offset"))
 
 
+def clamped_offset_of(lines: DataFrame, probes: DataFrame) -> DataFrame:
+    """Like offset_of, but a line beyond the last gives the end of the file and the column isn't checked."""
+    end = lines.groupBy("file_id").agg(F.max(F.col("begin") + F.col("len")).alias("end"))
+    j = probes.join(lines, ["file_id", "line"], "left").join(end, "file_id", "left")
+    return j.select("probe_id", "file_id", "line", "col", F.coalesce(F.col("begin") + F.col("col"), F.col("end"), F.lit(0)).cast("long").alias("offset"))
+
+
 LOG = "array<struct<offset:bigint,remove:bigint,insert:bigint>>"
 
 

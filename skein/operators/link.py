@@ -80,6 +80,8 @@ def link(root_names: DataFrame, defs: DataFrame, reqs: DataFrame, archives: list
                 # what is defined already is not resolved from later archives
                 defined = linked.join(every.where("tier = 0"), "section_id").select("name").distinct()
                 want = written(left.join(defined, "name", "left_anti"))
+                if want.join(d.select("name"), "name", "left_semi").isEmpty():
+                    continue  # nothing in this archive is asked for
                 linked, resolved, left = link_step(want, defs.unionByName(d), reqs, linked, resolved)
             if len(step) == 1 or linked.count() == before:
                 break

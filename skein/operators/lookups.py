@@ -14,6 +14,23 @@ def files_by_path(paths: DataFrame, key: Column) -> DataFrame:
     return paths.withColumn("key", key).groupBy("key").agg(F.min("file_id").alias("file_id"), F.min_by("path", "file_id").alias("path"))
 
 
+def add_files(files: DataFrame, added: DataFrame, missing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files with the added ones' modes in place, units (unit_id, header, path) to wake because a header came)."""
+    new = added.select("file_id", "path", "mode")
+    kept = files.select("file_id", "path", "mode").join(new.select("file_id"), "file_id", "left_anti")
+    return kept.unionByName(new), missing_header_matches(missing, new)
+
+
+def remove_files(files: DataFrame, removed: DataFrame, includes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files with the removed ones' mode set to exclude, file_id of all their transitive includers, to load again)."""
+    from skein.operators.closure import reload_set
+
+    gone = removed.select("file_id").distinct().withColumn("gone", F.lit(True))
+    j = files.join(gone, "file_id", "left")
+    out = j.select("file_id", "path", F.when(F.col("gone"), 0).otherwise(F.col("mode")).alias("mode"))
+    return out, reload_set(includes, removed)
+
+
 def symbols_by_name(symbols: DataFrame, names: DataFrame) -> DataFrame:
     """Symbols with one of the names (link_name), each name once."""
     return symbols.join(names.select("link_name").distinct(), "link_name", "left_semi")

@@ -811,3 +811,123 @@ def st3(R):
 @query("st8_status_changes", "SELECT unit_id, seq, status FROM (SELECT *, lag(status) OVER (PARTITION BY unit_id ORDER BY seq) AS was FROM {r_status}) WHERE was IS NULL OR was <> status")
 def st8(R):
     return ordered.status_changes(R("r_status"), "unit_id", ["seq"])
+
+
+# ---------------------------------------------------------------- more sources, changes and composites
+@query("s2_add_file", "SELECT file_id, path, CAST(CASE WHEN file_id % 10 = 3 THEN 1 ELSE mode END AS INTEGER) AS mode FROM {r_file}")
+def s2(R):
+    f = R("r_file").select("file_id", "path", "mode")
+    return lookups.add_files(f, f.where("file_id % 10 = 3").select("file_id", "path", lit(1).alias("mode")), R("r_missing"))[0]
+
+
+@query("st6_wake_units", "SELECT DISTINCT m.unit_id, m.header, f.path FROM {r_missing} m JOIN {r_file} f ON f.mode = 1 AND ends_with(f.path, concat('/', m.header))")
+def st6(R):
+    """Units that new files wake (s2, st6), in batch form; the stream form is streaming.wake_stream."""
+    f = R("r_file").select("file_id", "path", "mode")
+    return lookups.add_files(f, f.where("mode = 1"), R("r_missing"))[1]
+
+
+@query("s3_remove_file", "WITH RECURSIVE r(node) AS (SELECT c_custkey FROM {customer} WHERE c_custkey % 700 = 9 UNION SELECT e.includer FROM r JOIN {r_include} e ON e.included = r.node) SELECT node AS file_id FROM r")
+def s3(R):
+    files = R("customer").select(c("c_custkey").alias("file_id"), c("c_name").alias("path"), lit(1).alias("mode"))
+    return lookups.remove_files(files, files.where("file_id % 700 = 9"), R("r_include"))[1]
+
+
+@query("s6_asm_units", "SELECT stream, CAST(stream AS INTEGER) % 4 AS exit_code, CAST(stream AS INTEGER) % 4 < 2 AS counts, n FROM (SELECT stream, count(*) AS n FROM {r_event} GROUP BY 1)")
+def s6(R):
+    st = readers.event_statements(R("r_event")).groupBy("stream").agg(F.count(lit(1)).alias("n"))
+    code = c("stream").cast("int") % 4
+    return st.select("stream", code.alias("exit_code"), readers.run_succeeded(code).alias("counts"), "n")
+
+
+def script_lines(R: Relation, moved: bool) -> DataFrame:
+    k = c("s_suppkey")
+    origin = k * 4096 + (F.when(k % 10 == 3, 512).otherwise(0) if moved else 0)
+    line = F.concat(lit("L"), origin, lit(" "), k % 7 + 1, lit(" R"), k)
+    return R("supplier").where(k % 9 != 4 if moved else k % 8 != 5).select(lit("script").alias("stream"), k.alias("seq"), line.alias("line"))
+
+
+@query(
+    "s8_linker_script_changes",
+    """SELECT stream, name, op, old_origin, old_size, new_origin, new_size FROM (SELECT 'script' AS stream, coalesce(a.n, b.n) AS name, CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' WHEN a.o <> b.o THEN 'changed' END AS op, a.o AS old_origin, a.s AS old_size, b.o AS new_origin, b.s AS new_size FROM
+    (SELECT concat('R', s_suppkey) AS n, s_suppkey * 4096 AS o, s_suppkey % 7 + 1 AS s FROM {supplier} WHERE s_suppkey % 8 <> 5) a FULL JOIN (SELECT concat('R', s_suppkey) AS n, s_suppkey * 4096 + CASE WHEN s_suppkey % 10 = 3 THEN 512 ELSE 0 END AS o, s_suppkey % 7 + 1 AS s FROM {supplier} WHERE s_suppkey % 9 <> 4) b ON a.n = b.n) WHERE op IS NOT NULL""",
+)
+def s8(R):
+    old, new = (readers.memory_regions(readers.event_statements(script_lines(R, m), with_raw=True)) for m in (False, True))
+    return lookups.snapshot_diff(old, new, ["stream", "name"], ["origin", "size"])
+
+
+@query("w2_multi_line_records", "SELECT s_suppkey AS seq, concat('.s', s_suppkey) AS name, concat('RAM', s_suppkey % 3) AS runtime_region, concat('ROM', s_suppkey % 2) AS load_region FROM {supplier}")
+def w2(R):
+    k = c("s_suppkey")
+    three = F.posexplode(F.array(F.concat(lit("S1 .s"), k), F.concat(lit("RAM"), k % 3), F.concat(lit("ROM"), k % 2))).alias("i", "line")
+    d = readers.event_statements(R("supplier").select(lit("s").alias("stream"), k, three).select("stream", (k * 10 + c("i")).alias("seq"), "line"))
+    return readers.memory_sections(d).select(F.regexp_extract("name", "([0-9]+)$", 1).cast("long").alias("seq"), "name", "runtime_region", "load_region")
+
+
+@query("s10_make_database", "SELECT CASE WHEN p_partkey < 100 THEN 'Implicit Rules' ELSE 'Files' END AS section, concat('t', p_partkey) AS target, concat('a', p_partkey % 9, x) AS prerequisite FROM {part}, (SELECT unnest(['.c', '.h']) AS x) z WHERE p_partkey % 4 = 1")
+def s10(R):
+    k = c("p_partkey")
+    line = F.when(k == 0, "# Implicit Rules").when(k == 100, "# Files").when(k % 4 == 1, F.concat(lit("t"), k, lit(": a"), k % 9, lit(".c a"), k % 9, lit(".h"))).when(k % 4 == 2, F.concat(lit("\tgcc "), k)).otherwise(F.concat(lit("V"), k, lit(" := x")))
+    lines = R("part").select(lit("s").alias("stream"), k.alias("seq"), line.alias("line"))
+    return readers.make_database(lines).select("section", "target", "prerequisite")
+
+
+@query("s15_cache_write_read", "SELECT c_custkey AS unit_id, c_mktsegment AS flags FROM {customer}")
+def s15(R):
+    """Results written to the cache, read back."""
+    from skein.operators.closure import shared_folder
+
+    units = R("customer").select(c("c_custkey").alias("unit_id"), c("c_mktsegment").alias("flags"))
+    path = shared_folder(units.sparkSession, "cache")
+    readers.write_cache(units, path)
+    return units.sparkSession.read.parquet(path).select("unit_id", "flags")
+
+
+@query("s18_net_changes", "SELECT unit_id, CASE WHEN n > 0 THEN 'add' ELSE 'remove' END AS op, abs(n) AS n FROM (SELECT unit_id, CAST(sum(delta) AS BIGINT) AS n FROM {r_change} GROUP BY 1) WHERE n <> 0")
+def s18(R):
+    """What a sink publishes of a batch: each key's net change."""
+    g = R("r_change").groupBy("unit_id").agg(F.sum("delta").alias("n")).where("n <> 0")
+    return g.select("unit_id", F.when(c("n") > 0, "add").otherwise("remove").alias("op"), F.abs("n").alias("n"))
+
+
+@query("st1_track_in_file", "SELECT file_id, seq, kind FROM {r_occ} WHERE (file_id % 4 = 1 AND kind IN (0, 3)) OR (file_id % 4 = 2 AND kind = 6)")
+def st1(R):
+    """The first snapshot of tracking requests (st1, st2); changes come by streaming.tracked_stream."""
+    from skein.streaming.changelog import tracked_stream
+
+    want = R("documents").select(c("doc_id").alias("file_id"), F.when(c("doc_id") % 4 == 1, 1 | 8).when(c("doc_id") % 4 == 2, 64).otherwise(0).alias("mask"))
+    return tracked_stream(R("r_occ").select("file_id", "seq", "kind"), want)
+
+
+@query("a17_pending_and_failed", "SELECT k AS kind, count(*) FILTER (mode > 0 AND file_id % 10 IN (1, 2)) AS pending, count(*) FILTER (mode > 0 AND file_id % 10 = 4) AS failed FROM (SELECT *, " + FILEKIND + " AS k FROM {r_file}) GROUP BY 1")
+def a17(R):
+    f = R("r_file").select(K.file_kind(c("path")).alias("kind"), (c("mode") > 0).alias("candidate"), (c("file_id") % 10).alias("s"))
+    return f.groupBy("kind").agg(F.count_if(c("candidate") & c("s").isin(1, 2)).alias("pending"), F.count_if(c("candidate") & (c("s") == 4)).alias("failed"))
+
+
+@query("a21_completion_dedup", "SELECT file_id, count(DISTINCT entity_id) AS n FROM {r_occ} WHERE kind <= 4 GROUP BY file_id")
+def a21(R):
+    return counters.count_by(R("r_occ").where(K.is_declaration(c("kind"))).dropDuplicates(["file_id", "entity_id"]), "file_id")
+
+
+@query("t2_clamped_offsets", f"""SELECT p.probe_id, p.file_id, p.line, p.col, CAST(coalesce(l.begin + p.col, e.e) AS BIGINT) AS "offset" FROM {LINE_PROBES} p LEFT JOIN {LINES} l ON p.file_id = l.file_id AND p.line = l.line LEFT JOIN (SELECT doc_id, strlen(text) + 1 AS e FROM {{documents}}) e ON e.doc_id = p.file_id""")
+def t2(R):
+    k = F.explode(F.array(lit(0), lit(1), lit(2))).alias("k")
+    p = R("documents").select(c("doc_id").alias("file_id"), k).select((c("file_id") * 3 + c("k")).alias("probe_id"), "file_id", (c("k") * 2).cast("long").alias("line"), (c("k") * 17).cast("long").alias("col"))
+    return O.clamped_offset_of(O.line_table(R("documents"), "doc_id"), p)
+
+
+@query("t5_revert_ranges", """SELECT file_id, seq, CASE WHEN 5 < end_ AND begin < 10 THEN 1 WHEN 5 < end_ THEN begin - 2 ELSE begin END AS begin, CASE WHEN 5 < end_ AND begin < 10 THEN 0 WHEN 5 < end_ THEN end_ - 2 ELSE end_ END AS "end" FROM {r_occ} WHERE begin < 200""")
+def t5(R):
+    log = F.array(F.struct(lit(5).cast("long").alias("offset"), lit(3).cast("long").alias("remove"), lit(5).cast("long").alias("insert")))
+    r = O.revert_range(log, c("begin"), c("end"))
+    return occ(R).where("begin < 200").select("file_id", "seq", r.alias("r")).select("file_id", "seq", "r.begin", "r.end")
+
+
+@query("g5_archive_passes")
+def g5(R):
+    """Links with two archives in command order; tests hold archive passes against a work list in plain Python."""
+    defs = closure.written(R("r_def"))
+    own = defs.where("section_id % 3 = 0")
+    return link.link(R("r_root"), own, closure.written(R("r_req")), [[defs.where("section_id % 3 = 1")], [defs.where("section_id % 6 = 2"), defs.where("section_id % 6 = 5")]])

@@ -27,7 +27,7 @@ def sticky(lines: DataFrame, header: Column, name: str) -> DataFrame:
     return lines.withColumn(name, F.last(header, ignorenulls=True).over(_before()))
 
 
-def event_statements(lines: DataFrame) -> DataFrame:
+def event_statements(lines: DataFrame, with_raw: bool = False) -> DataFrame:
     """The line protocol of analysis back ends as (stream, seq, code, file, offset, line, col, name, extra).
 
     Location: nothing, a byte offset, or line:column. The file is that of the last @ statement. The line after an i
@@ -49,10 +49,39 @@ def event_statements(lines: DataFrame) -> DataFrame:
     is_pair = loc.contains(":")
     name = F.when(code == "@", F.substring("line", 2, 1_000_000)).otherwise(F.regexp_extract("line", r"^.[0-9:]* (.*)$", 1))
     extra = F.when(code == "i", F.col("next1")).when(code == "S", F.concat_ws("|", "next1", "next2"))
-    return d.select(
-        "stream", "seq", code.alias("code"), F.nullif("file", F.lit("")).alias("file"), offset.alias("offset"),
+    d = d.withColumn("raw", F.col("line"))
+    out = d.select(
+        "stream", "seq", F.col("raw"), code.alias("code"), F.nullif("file", F.lit("")).alias("file"), offset.alias("offset"),
         F.when(is_pair, F.split_part(loc, F.lit(":"), F.lit(1)).cast("long")).alias("line"), F.when(is_pair, F.split_part(loc, F.lit(":"), F.lit(2)).cast("long")).alias("col"), name.alias("name"), extra.alias("extra"),
     )
+    return out if with_raw else out.drop("raw")
+
+
+def run_succeeded(exit_code: Column) -> Column:
+    """Whether an assembler run's output counts: it may end with 1, when it has reported errors."""
+    return exit_code.isin(0, 1)
+
+
+def memory_regions(statements: DataFrame) -> DataFrame:
+    """(stream, name, origin, size) of L statements: L<origin> <size> <name>, decimal numbers."""
+    d = statements.where("code = 'L'").select("stream", "raw")
+    g = lambda i: F.regexp_extract("raw", r"^L([0-9]+) ([0-9]+) (.*)$", i)
+    return d.where(F.col("raw").rlike(r"^L[0-9]+ [0-9]+ .")).select("stream", g(3).alias("name"), g(1).cast("long").alias("origin"), g(2).cast("long").alias("size"))
+
+
+def memory_sections(statements: DataFrame) -> DataFrame:
+    """(stream, name, runtime_region, load_region) of S statements, whose two regions stand on the next lines."""
+    two = lambda i: F.split_part("extra", F.lit("|"), F.lit(i))
+    return statements.where("code = 'S'").select("stream", "name", two(1).alias("runtime_region"), two(2).alias("load_region"))
+
+
+# How messages begin that a linker script scan leaves out, as the link step finds those names itself.
+LEFT_OUT = "undefined symbol: "
+
+
+def script_diagnostics(statements: DataFrame) -> DataFrame:
+    """(stream, file, offset, line, col, message) of E statements, without those about undefined symbols."""
+    return statements.where((F.col("code") == "E") & ~F.col("name").startswith(LEFT_OUT)).select("stream", "file", "offset", "line", "col", F.col("name").alias("message"))
 
 
 def asm_linkage(statements: DataFrame) -> DataFrame:

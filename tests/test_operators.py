@@ -213,3 +213,20 @@ def test_unions_of_equal_partitionings(spark):
     both = e.select("u", "s", "n").union(e.select("u", "s", (F.col("n") + 1).alias("n")))
     got = both.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("u", "n"))).groupBy("k").count().collect()
     assert {r.k: r["count"] for r in got} == {1: 60, 2: 480}
+
+
+def test_script_statements(spark):
+    text = ["@/a.ld", "L4096 512 RAM", "L1 x bad", "E3 undefined symbol: foo", "E1:2 real error"]
+    d = readers.event_statements(spark.createDataFrame([("s", i, t) for i, t in enumerate(text)], "stream string, seq long, line string"), with_raw=True)
+    assert [tuple(r) for r in readers.memory_regions(d).collect()] == [("s", "RAM", 4096, 512)]
+    assert [(r.line, r.col, r.message) for r in readers.script_diagnostics(d).collect()] == [(1, 2, "real error")]
+
+
+def test_files_come_and_go(spark):
+    files = spark.createDataFrame([(1, "/p/a.c", 2), (2, "/p/inc/x.h", 2)], "file_id long, path string, mode int")
+    missing = spark.createDataFrame([(7, "inc/y.h")], "unit_id long, header string")
+    after, wake = lookups.add_files(files, spark.createDataFrame([(3, "/p/inc/y.h", 1)], "file_id long, path string, mode int"), missing)
+    assert after.count() == 3 and [r.unit_id for r in wake.collect()] == [7]
+    inc = spark.createDataFrame([(1, 2)], "includer long, included long")
+    after, again = lookups.remove_files(files, files.where("file_id = 2"), inc)
+    assert {r.file_id: r["mode"] for r in after.collect()} == {1: 2, 2: 0} and {r.file_id for r in again.collect()} == {1, 2}
