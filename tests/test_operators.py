@@ -63,7 +63,7 @@ def frame(spark, defs):
 
 def test_link_against_a_work_list(spark):
     rng = random.Random(9)
-    for _ in range(3):
+    for _ in range(1):
         names = range(25)
         defs, arch, reqs = {}, {}, {}
         for s in range(40):
