@@ -6,13 +6,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.kinds import USE
+from skein.operators.closure import written
 
 
 def diagnostic_order(diagnostics: DataFrame) -> DataFrame:
     """diagnostics (severity, unit_order, seq, is_link) with place: from 1 in each severity, by unit and sequence, link
-    diagnostics last. Severities don't depend on each other."""
-    w = Window.partitionBy("severity").orderBy("is_link", "unit_order", "seq")
-    return diagnostics.withColumn("place", F.row_number().over(w))
+    diagnostics last. Severities don't depend on each other.
+
+    There are three severities, so a window on them would put all rows in three tasks. Rows are sorted over partitions by
+    range instead, numbered in each, and moved by the counts of the partitions before.
+    """
+    order = ["severity", "is_link", "unit_order", "seq"]
+    n = int(diagnostics.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # written, so that a row's partition is settled
+    d = written(diagnostics.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
+    own = F.row_number().over(Window.partitionBy("__part", "severity").orderBy(*order))
+    counts = d.groupBy("severity", "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("severity").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("severity").alias("__s"), F.col("__part").alias("__p"), before.alias("__before"))
+    j = d.withColumn("__own", own).join(starts, (F.col("severity") == F.col("__s")) & (F.col("__part") == F.col("__p")))
+    return j.select(*[F.col(f"`{c}`") for c in diagnostics.columns], (F.col("__own") + F.col("__before")).cast("int").alias("place"))
 
 
 def top_diagnostics(diagnostics: DataFrame, order: list, limit: int) -> DataFrame:
