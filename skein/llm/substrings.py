@@ -86,7 +86,8 @@ def band_keys(w: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
     s = _runs_of(w, SHINGLE)
     at = np.concatenate([s[a : b - SHINGLE + 1] for a, b in spans])
     starts = np.concatenate(([0], np.cumsum([b - a - SHINGLE + 1 for a, b in spans])[:-1]))
-    low = np.stack([np.minimum.reduceat(_mix(at * m + p), starts) for m, p in zip(_MUL, _ADD, strict=True)], axis=1).reshape(len(spans), BANDS, ROWS)
+    # shingle hashes are mixed already, so a multiplication and an addition order them anew for each value
+    low = np.stack([np.minimum.reduceat(at * m + p, starts) for m, p in zip(_MUL, _ADD, strict=True)], axis=1).reshape(len(spans), BANDS, ROWS)
     key = np.arange(BANDS, dtype=np.uint64)[None, :] * _P + np.uint64(1)
     for r in range(ROWS):
         key = _mix(key ^ low[:, :, r]) * _P
