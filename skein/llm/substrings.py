@@ -244,7 +244,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     A paragraph is a line of at least four fifths of `least` words with a line of another document at a Jaccard
     similarity of SIMILAR or more on five-word shingles, one of the component having `least` words or more; a passage is
     made of overlapping windows of WINDOW words, each of which some other document holds word for word (A-Z in either
-    case), so a repeat of `least` words is found whatever stands around it, with a probability over 0.95 that grows with
+    case), so a repeat of `least` words is found whatever stands around it, with a probability over 0.99 that grows with
     its length. Documents without repeats have no row.
 
     Defined cases: null and empty texts have no passages; rows with equal ids are one document, so a text that repeats
