@@ -84,21 +84,26 @@ class Vocabulary(dict):
         return out if kept.all() else out[kept]
 
 
+def terms_in(text: str, terms: dict[str, int]) -> set[str]:
+    """The terms that a text holds; only words with a mark at an end are looked at one by one."""
+    words = set(text.lower().split())
+    marked = {w.strip(MARKS) for w in words if w[-1] in MARKS or w[0] in MARKS}
+    # of the other words none changes by stripping
+    return (terms.keys() & words) | (terms.keys() & marked)
+
+
 def document_counts(docs: DataFrame, terms: list[str], text_col: str) -> tuple[np.ndarray, int]:
     """(documents that hold each term, documents), over all of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(shared.value)
-        counts, n = [0] * (len(shared.value) + 2), 0
+        terms = {t: i for i, t in enumerate(shared.value)}
+        counts, n = Counter(), 0
         for b in batches:
             for text in strings(b.column(0)):
                 n += 1
-                seen = set(map(vocabulary.__getitem__, set(text.split())))
-                for i in seen:
-                    counts[i] += 1
-        counts = np.array(counts[:-1])
-        counts[-1] = n
+                counts.update(terms_in(text, terms))
+        counts = np.array([*(counts[t] for t in shared.value), n], np.int64)
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["term", "n"])
 

@@ -38,7 +38,7 @@ MASKS = covering_masks(list(range(BITS)))
 def fine_masks(table: int) -> list[int]:
     """For the buckets of a table: its mask together with each mask of a covering family over the places it leaves out.
 
-    At most 17 places stay free, so a bucket of these has 2**17 different fingerprints at most, however large the corpus.
+    At most 16 places stay free, so a bucket of these has 2**16 different fingerprints at most, however large the corpus.
     """
     free = [p for p in range(BITS) if not MASKS[table] >> p & 1]
     return [MASKS[table] | m for m in covering_masks(free)]

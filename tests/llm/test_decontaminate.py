@@ -83,3 +83,12 @@ def test_common_subsequence_against_the_table():
             for j, y in enumerate(b):
                 t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
         assert D.common_subsequence(a, b) == t[-1][-1]
+
+
+def test_document_counts_against_plain_counting(spark):
+    texts = ["Alpha, beta beta. (gamma)", "alphabet «beta» -- gamma-delta", "", None, "ALPHA"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    terms = ["alpha", "beta", "gamma", "gamma-delta", "none"]
+    df, n = D.document_counts(docs, terms, "text")
+    want = [sum(t in {D.normal(w) for w in (x or "").split()} for x in texts) for t in terms]
+    assert df.tolist() == want and n == 5

@@ -43,7 +43,7 @@ def test_masks_cover_every_pair():
         d = sum(1 << p for p in rng.sample(range(64), rng.randrange(4)))
         hit = [t for t, m in enumerate(S.MASKS) if not d & m]
         assert hit and any(not d & m for m in S.fine_masks(hit[0]))
-    assert all(bin(m).count("1") >= 47 for m in S.FINE)
+    assert all(bin(m).count("1") >= 48 for m in S.FINE)
 
 
 def test_query_against_all_pairs(spark, sf):
