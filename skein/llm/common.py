@@ -35,6 +35,12 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/skein-{what}-{uuid.uuid4().hex}"
 
 
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Have an existing path deleted when the driver's JVM ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def materialize(df: DataFrame, what: str = "cut") -> DataFrame:
     """Write df to the shared folder and return a scan of it: lineage ends there, and a lost executor costs nothing.
 
@@ -43,6 +49,7 @@ def materialize(df: DataFrame, what: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, what)
     df.write.parquet(path)
+    drop_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.shared_path = path
     return out

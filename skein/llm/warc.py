@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import materialize, new_path
+from skein.llm.common import drop_at_exit, materialize, new_path
 
 #: Payloads shorter than this are never revisits.
 LEAST_REVISIT = 100
@@ -232,6 +232,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         folder = "file://" + folder
     fs, path = _fs(folder)
     fs.create_dir(path, recursive=True)
+    drop_at_exit(spark, folder)
     html = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
