@@ -37,8 +37,13 @@ WORDS = set(
     """ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies
     consent gdpr notice notices sidebar sidenav menu menus nav navbar navigation navi breadcrumb breadcrumbs footer header
     masthead topbar comment comments commentlist disqus reply replies respond share sharing social related recommended
-    newsletter subscribe subscription signup login popup modal overlay widget widgets toolbar pagination pager""".split()
+    newsletter subscribe subscription signup login popup modal overlay widget widgets toolbar pagination pager commentbox
+    commentsection alert alerts copyright legal search searchbox searchform backtotop skiplink outbrain taboola adslot
+    adsbygoogle adbox""".split()
 )
+STARTS = ("advert", "sponsor", "cookie", "newsletter", "sidebar", "breadcrumb", "subscri")
+#: With one of these, a box named header or banner is an article's own heading.
+HEADINGS, OWN = set("header banner masthead".split()), set("article post entry story content".split())
 OF_ARTICLES = WORDS - set("header menu nav sidebar banner notice notices widget share social subscription".split())
 
 _TOKEN = re.compile(
@@ -62,8 +67,14 @@ def _boxed(name: str, attrs: str, inside: bool) -> bool:
         key, value = key.lower(), a or b or c
         if hidden or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE)):
             return True
-        if (key == "role" and value.lower() in ROLES and name != "article") or (key in ("class", "id") and any(w.lower() in words for w in _WORD.findall(value))):
+        if key == "role" and value.lower() in ROLES and name != "article":
             return True
+        if key in ("class", "id"):
+            for one in value.split():
+                said = {w.lower() for w in _WORD.findall(one)}
+                hit = {w for w in said if w in words or w.startswith(STARTS)}
+                if hit and not (hit <= HEADINGS and (inside or said & OWN)):
+                    return True
     return False
 
 

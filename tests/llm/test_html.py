@@ -42,3 +42,19 @@ def test_broken_markup_stays_fast():
         began = time.time()
         H.main_text(bad)
         assert time.time() - began < 5
+
+
+def test_names_of_boxes():
+    def kept(attrs, tag="div"):
+        return "box" in H.main_text(f"<body><article><p>The text of the article stands here.</p><{tag} {attrs}>box</{tag}></article></body>")
+
+    for attrs in ('class="ad"', 'class="post ad-slot"', 'id="cookieNotice"', 'class="related-posts"', 'class="commentsection"', 'class="advertorial-box"', "class=sidebar", 'role="search"', 'aria-hidden="true"'):
+        assert not kept(attrs), attrs
+    for attrs in ('class="article-header"', 'class="lead"', 'class="commentary"', 'id="adaptation"', 'class="header"', 'class="navy shadow"', 'title="ad"', ""):
+        assert kept(attrs), attrs
+    assert not kept("", "aside") and not kept("", "footer") and kept("", "header")
+
+
+def test_headings_of_unmarked_pages():
+    page = '<body><div class="header">Site</div><div class="post-header"><h1>Title of it</h1></div><div class="post"><p>A long paragraph that is the text of this page.</p></div><div class="footer">End</div></body>'
+    assert H.main_text(page) == "Title of it A long paragraph that is the text of this page."
