@@ -364,9 +364,13 @@ def j7(R):
     return lookups.rule_targets(R("r_file").select("file_id", "path"), R("r_rule"))
 
 
-@query("j7b_choose_target")
+@query(
+    "j7b_choose_target",
+    f"""SELECT f.file_id, coalesce(b.t, concat(f.path, '.o')) AS target FROM {{r_file}} f LEFT JOIN (SELECT file_id, list_reduce(list({{'t': target, 'n': length(stem), 'o': lower(regexp_extract(target, '\\.([^./]*)$', 1)) IN ('o', 'obj')}} ORDER BY target), lambda b, x: CASE WHEN x.n < b.n OR (x.o AND NOT b.o) THEN x ELSE b END).t AS t
+    FROM ({RULES}) GROUP BY file_id) b ON b.file_id = f.file_id""",
+)
 def j7b(R):
-    """A fold that is not associative: no SQL twin; tests hold it against plain Python."""
+    """A fold that is not associative, over each source's targets in name order."""
     f = R("r_file").select("file_id", "path")
     return lookups.choose_target(lookups.rule_targets(f, R("r_rule")), f)
 
@@ -626,15 +630,24 @@ def k4(R):
     return occ(R).groupBy("file_id").agg(F.min_by("entity_id", F.struct(c("end") - c("begin"), c("seq"))).alias("entity_id"))
 
 
-@query("w5_scope_stack")
+SCOPES = """(SELECT o.unit_id, o.seq, o.depth, o.parent_seq, (SELECT count(*) FROM ev i WHERE i.unit_id = o.unit_id AND i.d = 1 AND i.seq > o.seq AND (o.e IS NULL OR i.seq < o.e)) AS n_inside FROM (
+    SELECT a.unit_id, a.seq, a.depth, (SELECT max(b.seq) FROM ev b WHERE b.unit_id = a.unit_id AND b.d = 1 AND b.depth = a.depth - 1 AND b.seq < a.seq) AS parent_seq, (SELECT min(b.seq) FROM ev b WHERE b.unit_id = a.unit_id AND b.d = -1 AND b.depth = a.depth - 1 AND b.seq > a.seq) AS e FROM ev a WHERE a.d = 1) o)"""
+EV = """WITH ev AS (SELECT unit_id, seq, d, CAST(run - least(min(run) OVER (PARTITION BY unit_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS BIGINT) AS depth
+    FROM (SELECT *, sum(d) OVER (PARTITION BY unit_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM {r_scope})) """
+
+
+@query("w5_scope_stack", f"{EV} SELECT * FROM {SCOPES}")
 def w5(R):
-    """Scopes (w5): tests hold it against a plain stack."""
+    """Scopes (w5); tests hold it against a plain stack too."""
     return ordered.scope_stack(R("r_scope"))
 
 
-@query("j15_scope_of")
+@query(
+    "j15_scope_of",
+    f"""{EV}, sp AS (SELECT unit_id, CAST(row_number() OVER (PARTITION BY unit_id ORDER BY seq) AS BIGINT) AS seq, n_inside AS n FROM {SCOPES}) SELECT a.unit_id, a.seq, max(b.seq) AS parent_seq FROM sp a LEFT JOIN sp b ON a.unit_id = b.unit_id AND b.seq < a.seq AND b.seq + b.n >= a.seq GROUP BY 1, 2""",
+)
 def j15(R):
-    """Enclosing spans: tests hold it against plain Python."""
+    """The nearest span that encloses each one."""
     s = ordered.scope_stack(R("r_scope")).select("unit_id", c("n_inside").alias("count"), F.row_number().over(Window.partitionBy("unit_id").orderBy("seq")).alias("seq"))
     return lookups.scopes_of(s)
 
@@ -731,9 +744,9 @@ def t8(R):
     return R("r_file").select("file_id", stem.alias("stem"), X.pattern_fill(lit("out/%.o"), stem).alias("target"))
 
 
-@query("t9_command_words")
+@query("t9_command_words", "SELECT p_partkey, concat('gcc|-DA=x y|', p_name, '|p', p_partkey, '.c') AS words FROM {part}")
 def t9(R):
-    """Words of command lines; tests hold it against plain Python."""
+    """Words of command lines; tests hold harder lines against the expected words."""
     line = F.concat(lit("gcc -DA=\"x y\" '"), "p_name", lit("' p"), "p_partkey", lit(".c # "), "p_brand")
     return R("part").select("p_partkey", F.array_join(X.command_words(line), "|").alias("words"))
 
