@@ -913,6 +913,17 @@ def st1(R):
     return tracked_stream(R("r_occ").select("file_id", "seq", "kind"), want)
 
 
+@query("st2_track_of_entity", "SELECT entity_id, kind, file_id % 2 = 0 AS linked, count(*) AS n FROM {r_occ} WHERE kind IN (3, 5) AND entity_id IN (SELECT entity_id FROM {r_occ} WHERE kind = 0) GROUP BY ALL")
+def st2(R):
+    """The first snapshot of an entity's tracking, with the linked flag of each occurrence's unit."""
+    from skein.streaming.changelog import tracked_stream
+
+    o = occ(R)
+    want = o.where("kind = 0").select("entity_id", lit(1 << 3 | 1 << 5).alias("mask"))
+    got = tracked_stream(o.withColumn("linked", c("file_id") % 2 == 0), want, "entity_id")
+    return got.groupBy("entity_id", "kind", "linked").agg(F.count(lit(1)).alias("n"))
+
+
 @query("a17_pending_and_failed", "SELECT k AS kind, count(*) FILTER (mode > 0 AND file_id % 10 IN (1, 2)) AS pending, count(*) FILTER (mode > 0 AND file_id % 10 = 4) AS failed FROM (SELECT *, " + FILEKIND + " AS k FROM {r_file}) GROUP BY 1")
 def a17(R):
     f = R("r_file").select(K.file_kind(c("path")).alias("kind"), (c("mode") > 0).alias("candidate"), (c("file_id") % 10).alias("s"))

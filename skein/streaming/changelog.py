@@ -56,11 +56,11 @@ def status_stream(statuses: DataFrame) -> DataFrame:
     return keyed.groupBy("key").applyInPandasWithState(_changed, "key string, seq long, status int", "status int", "append", GroupStateTimeout.NoTimeout)
 
 
-def tracked_stream(changes: DataFrame, requests: DataFrame) -> DataFrame:
-    """A stream of occurrence changes (.., file_id, kind, op) -> those of tracked files and kinds (file_id, mask): a join of
-    the stream with the table of requests."""
-    want = requests.groupBy("file_id").agg(F.bit_or(F.col("mask").cast("long")).alias("mask"))
-    j = changes.join(want, "file_id")
+def tracked_stream(changes: DataFrame, requests: DataFrame, key: str = "file_id") -> DataFrame:
+    """A stream of occurrence changes (.., key, kind, op) -> those of tracked files or entities and kinds (key, mask): a
+    join of the stream with the table of requests. Masks of several requests for one key add up."""
+    want = requests.groupBy(key).agg(F.bit_or(F.col("mask").cast("long")).alias("mask"))
+    j = changes.join(want, key)
     return j.where(F.expr("bit_get(mask, kind) = 1")).drop("mask")
 
 
