@@ -76,7 +76,8 @@ def command_words(line: Column) -> Column:
     One regular expression cuts the words, a second the parts of each word, so no Python runs.
     """
     word = r"""(?:"(?:\\["\\]|[^"])*"?|'(?:\\['\\]|[^'])*'?|[^\s"'])+"""
-    words = F.regexp_extract_all(F.regexp_replace(line, r"(^|\s)#.*$", "$1"), F.lit(f"({word})"), F.lit(1))
+    # a comment is taken where a word would start, so a # within quotes or a word is none
+    words = F.filter(F.regexp_extract_all(line, F.lit(f"((?s:#.*)|{word})"), F.lit(1)), lambda w: ~w.startswith("#"))
     part = r"""("(?:\\["\\]|[^"])*"?|'(?:\\['\\]|[^'])*'?|[^"']+)"""
 
     def bare(p: Column) -> Column:

@@ -98,6 +98,7 @@ def test_command_words(spark):
         "  spaced\tout  ": ["spaced", "out"],
         "": [],
         "# only": [],
+        'a "b # c" d#e #f "g': ["a", "b # c", "d#e"],
     }
     got = dict(one(spark, [(x,) for x in cases], "l string", l=F.col("l"), w=X.command_words(F.col("l"))))
     assert got == cases
