@@ -4,6 +4,10 @@ Fingerprints link when they differ in at most RADIUS bits. Each of the 64 bit pl
 bits; table v (v a non-zero vector) keeps the places whose vector has an odd inner product with v. The vectors of at
 most RADIUS differing places span less than the whole space, so some v is orthogonal to all of them and its table keeps
 none of the differing places: every pair within the radius collides there for certain (Pagh, "CoveringLSH").
+
+keep_one, the pipeline's stage, has a rule of its own: texts link from a Jaccard similarity of SIMILAR on five-word
+shingles. Such pairs differ in up to a dozen bits and more, which no covering family of bearable size reaches, so its
+candidates come from MinHash bands and each is measured.
 """
 
 from __future__ import annotations
@@ -17,12 +21,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import components, materialize, parts, strings
+from skein.llm.substrings import SHINGLE, _mix, _runs_of, paragraph_links, word_hashes, words_of
 
 RADIUS = 3
 BITS = 64
 SEED = 42
 #: Members of a bucket that are compared in one task; larger buckets are dealt out by a second family of masks.
 BUCKET = 4096
+#: keep_one: texts link if SIMILAR[0] / SIMILAR[1] of their shingles or more are common to both.
+SIMILAR = 4, 5
+#: Bands of ROWS MinHash values: a pair at 0.8 is missed with probability (1 - 0.8**4)**30 = 1.4e-7, a closer one with less.
+BANDS, ROWS = 30, 4
+
+_MUL = np.random.default_rng(19).integers(1, 1 << 63, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
+_ADD = np.random.default_rng(20).integers(1, 1 << 63, (BANDS * ROWS, 1), np.uint64)
 
 
 def covering_masks(places: list[int], radius: int = RADIUS) -> list[int]:
@@ -195,13 +207,101 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), comp.alias("component_id"))
 
 
+def text_shingles(words: list[bytes]) -> np.ndarray:
+    """The distinct hashes of a text's five-word shingles, sorted; a shorter text is one shingle."""
+    if len(words) < SHINGLE:
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), 1)], np.uint64)
+    return np.unique(_runs_of(word_hashes(words), SHINGLE))
+
+
+def text_bands(shingles: np.ndarray) -> np.ndarray:
+    """The BANDS keys of a text."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(shingles), 1024):
+        np.minimum(low, (shingles[None, i : i + 1024] * _MUL + _ADD).min(1), out=low)
+    low = low.reshape(BANDS, ROWS)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for r in range(ROWS):
+        key = _mix(key ^ low[:, r]) * np.uint64(0x9E3779B97F4A7C15)
+    return key
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text) -> (id, hash of the words, bands, words joined by a space); texts without bands are too short to
+    be like any other."""
+    for whole in batches:
+        for i in range(0, whole.num_rows, 256):
+            b = whole.slice(i, 256)
+            words = [words_of(x) for x in strings(b.column(1))]
+            joined = [b" ".join(x) for x in words]
+            hashes = np.array([xxhash.xxh3_64_intdigest(x, 1) for x in joined], np.uint64).view(np.int64)
+            bands = [text_bands(text_shingles(x)).view(np.int64).tolist() if len(x) >= SHINGLE else None for x in words]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes), pa.array(bands, pa.list_(pa.int64())), pa.array(joined, pa.binary())], names=["id", "hash", "bands", "text"])
+
+
+def similar_texts(sets: list[np.ndarray], nodes: list[int]) -> list[tuple[int, int]]:
+    """A spanning forest of the links of SIMILAR or more among texts, given as sets of shingles; a text is measured against
+    all later ones, unless all of those that are near enough in size are connected with it already."""
+    sizes = np.array([len(x) for x in sets])
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    vocabulary, at = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(vocabulary), bool)
+    label = np.arange(len(sets))
+    part, of = SIMILAR
+    out = []
+    for i in range(len(sets) - 1):
+        size = sizes[i + 1 :]
+        open_ = (label[i + 1 :] != label[i]) & (of * np.minimum(size, sizes[i]) >= part * np.maximum(size, sizes[i]))
+        if not open_.any():
+            continue
+        first = i + 1 + int(open_.argmax())
+        own = at[starts[i] : starts[i + 1]]
+        mark[own] = True
+        both = np.add.reduceat(mark[at[starts[first] :]].astype(np.int64), starts[first:-1] - starts[first])
+        mark[own] = False
+        for j in np.flatnonzero(open_[first - i - 1 :] & (of * both >= part * (sizes[first:] + sizes[i] - both))) + first:
+            if label[j] != label[i]:
+                out.append((nodes[i], nodes[j]))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _text_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, hash, text) sorted by cell -> links; one cell is held at a time, which paragraph_links bounds."""
+    now, sets, nodes = None, [], []
+
+    def done() -> pa.RecordBatch:
+        got = similar_texts(sets, nodes)
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in got], pa.int64()), pa.array([b for _, b in got], pa.int64())], names=["a", "b"])
+
+    for b in batches:
+        for cell, node, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if cell != now:
+                if len(nodes) > 1:
+                    yield done()
+                now, sets, nodes = cell, [], []
+            sets.append(text_shingles(text.split(b" ")))
+            nodes.append(node)
+    if len(nodes) > 1:
+        yield done()
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but one of each component: the row with the smallest id stays (one of them, if it repeats).
+    """docs without all but one of each group of near copies: the row with the smallest id stays (one of them, if it
+    repeats).
 
-    Rows with a null id stay as they are. Columns are those of docs.
+    Groups are the components of the pairs whose sets of five-word shingles (A-Z lower-cased) have a Jaccard similarity of
+    0.8 or more. A text of fewer than five words is one shingle, and texts without words are copies of each other. Rows
+    with a null id stay as they are. Columns are those of docs.
     """
-    comps = simhash_components(docs, id_col, text_col)
-    heads = comps.where(F.col("component_id") == F.col(id_col)).select(F.col("component_id").alias("__head")).distinct()
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = materialize(rows.mapInArrow(_texts, "id long, hash long, bands array<long>, text binary"), "texts")
+    # copies of any number are one entry from here on
+    classes = texts.groupBy("hash").agg(F.min("id").alias("low"))
+    links = paragraph_links(texts.where("bands is not null").select("hash", "bands", "text").dropDuplicates(["hash"]), _text_cells)
+    found = components(links)
+    groups = classes.join(found, F.col("hash") == F.col("node"), "left").groupBy(F.coalesce("component", "hash").alias("component"))
+    heads = groups.agg(F.min("low").alias("__head")).where("__head is not null").select("__head").distinct()
     plain = docs.where(F.col(id_col).isNotNull()).join(heads, F.col(id_col) == F.col("__head"), "left_semi")
     # a repeated id: only one of its rows may stay; the choice is by text, then arbitrary among equal rows
     return plain.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))

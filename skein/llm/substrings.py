@@ -9,7 +9,7 @@ are merged to passages. Of each component the occurrence in the document with th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -183,8 +183,9 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def paragraph_links(paragraphs: DataFrame) -> DataFrame:
-    """Links (a, b) between hashes of similar paragraphs of `paragraphs` (hash, bands, text; equal hashes may repeat)."""
+def paragraph_links(paragraphs: DataFrame, cells: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = _cells) -> DataFrame:
+    """Links (a, b) between hashes of similar paragraphs of `paragraphs` (hash, bands, text; equal hashes may repeat), as
+    `cells` finds them among those that share a band."""
     spark = paragraphs.sparkSession
     n = parts(spark)
     kinds = materialize(paragraphs.select("hash", "bands").dropDuplicates(["hash"]), "kinds")
@@ -203,7 +204,7 @@ def paragraph_links(paragraphs: DataFrame) -> DataFrame:
     dealt = held.select("bucket", "hash", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     cell = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
     rows = dealt.select(cell.alias("cell"), "hash").distinct().join(texts, F.col("hash") == F.col("of")).select("cell", "hash", "text")
-    return rows.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(_cells, "a long, b long")
+    return rows.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(cells, "a long, b long")
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
