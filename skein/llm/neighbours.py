@@ -2,8 +2,9 @@
 
 Trees are grown on a bounded sample; each node splits by the direction between two centres that start from random rows,
 at the median. Every row of the table is put in one leaf of each tree. A query walks all trees through one priority
-queue, ordered by the sum of squared distances to the planes it has crossed, until the leaves hold SHARE of the rows; the
-rows in those leaves are its candidates and are reranked by their exact cosine in double precision.
+queue, ordered by the sum of squared distances to the planes it has crossed, until the leaves hold SHARE of the different
+rows (copies count once); the rows in those leaves are its candidates and are reranked by their exact cosine in double
+precision.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from skein.llm.common import materialize
 TREES, LEAF, SEED = 8, 8, 3
 #: Rows that the trees are grown on, about; every row is indexed whatever its number.
 SAMPLE = 20_000
-#: Share of the rows a query's leaves hold, and their least number; on vectors without structure less loses recall.
+#: Share of the different rows a query's leaves hold, and their least number; on vectors without structure less loses recall.
 SHARE, LEAST = 0.35, 2_000
 #: Queries that are sent to the rows together.
 BLOCK = 4096
@@ -193,9 +194,12 @@ def nearest(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     lengths = [len(r.vec) for r in picked] or [len(good.first().vec)]
     dim = max(set(lengths), key=lambda d: (lengths.count(d), d))
     base = _unit(np.array([r.vec for r in sorted(picked, key=lambda r: r.id) if len(r.vec) == dim], np.float64).reshape(-1, dim))
+    # copies count once: a group of them sits in one leaf, and its rows would use up the budget
+    some = len(base)
+    base = base[np.sort(np.unique(base + np.float32(0), axis=0, return_index=True)[1])]
     forest = Forest(base)
     n_leaves = len(forest.members)
-    budget = max(share, min(1.0, LEAST / n)) * len(base)
+    budget = max(share, min(1.0, LEAST * some / (n * max(1, len(base))))) * len(base)
     shared = spark.sparkContext.broadcast(forest)  # bounded by the sample
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

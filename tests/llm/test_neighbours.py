@@ -56,3 +56,17 @@ def test_copies_don_t_stop_the_forest():
     x = np.ones((500, 4), np.float32)
     f = A.Forest(x / 2)
     assert (f.leaves_of(x / 2) >= 0).all() and len(f.search(x[0] / 2, 10)) >= 1
+
+
+def test_recall_beside_a_large_group_of_copies(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((4000, 32)) + 0.4 * rng.standard_normal((10, 32))[rng.integers(0, 10, 4000)]
+    hot = rng.random(4000) < 1 / 3
+    x[hot] = x[0]
+    monkeypatch.setattr(A, "LEAST", 100)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in A.nearest(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = {q: w for q, w in brute(np.arange(4000), x).items() if not hot[q]}
+    assert sum(len(got[q] & set(w)) for q, w in want.items()) >= 0.9 * 5 * len(want)
