@@ -19,9 +19,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.llm.common import components, materialize, parts, strings
-from skein.llm.substrings import SHINGLE, _mix, _runs_of, paragraph_links, word_hashes, words_of
+from skein.llm.substrings import SHINGLE, _mix, _runs_of, banded_links, word_hashes, words_of
 
 RADIUS = 3
 BITS = 64
@@ -32,6 +33,8 @@ BUCKET = 4096
 SIMILAR = 4, 5
 #: Bands of ROWS MinHash values: a pair at 0.8 is missed with probability (1 - 0.8**4)**30 = 1.4e-7, a closer one with less.
 BANDS, ROWS = 30, 4
+#: Bands that are searched first: a pair at 0.9 is found there with probability 1 - (1 - 0.9**4)**6 = 0.998.
+FIRST = 6
 
 _MUL = np.random.default_rng(19).integers(1, 1 << 63, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
 _ADD = np.random.default_rng(20).integers(1, 1 << 63, (BANDS * ROWS, 1), np.uint64)
@@ -226,27 +229,53 @@ def text_bands(shingles: np.ndarray) -> np.ndarray:
     return key
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, text) -> (id, hash of the words, bands, words joined by a space); texts without bands are too short to
-    be like any other."""
+def _hash_of(words: bytes) -> int:
+    x = xxhash.xxh3_64_intdigest(words, 1)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text) -> (id, hash of the words, their number, bands); texts without bands are too short to be like any
+    other."""
     for whole in batches:
         for i in range(0, whole.num_rows, 256):
             b = whole.slice(i, 256)
-            words = [words_of(x) for x in strings(b.column(1))]
-            joined = [b" ".join(x) for x in words]
-            hashes = np.array([xxhash.xxh3_64_intdigest(x, 1) for x in joined], np.uint64).view(np.int64)
-            bands = [text_bands(text_shingles(x)).view(np.int64).tolist() if len(x) >= SHINGLE else None for x in words]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes), pa.array(bands, pa.list_(pa.int64())), pa.array(joined, pa.binary())], names=["id", "hash", "bands", "text"])
+            hashes, sizes, bands = [], [], []
+            for x in strings(b.column(1)):
+                words = words_of(x)
+                hashes.append(_hash_of(b" ".join(words)))
+                sizes.append(len(words))
+                bands.append(text_bands(text_shingles(words)).view(np.int64) if len(words) >= SHINGLE else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "hash", "size", "bands"])
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text) -> (hash of the words, words joined by a space)."""
+    for whole in batches:
+        for i in range(0, whole.num_rows, 256):
+            joined = [b" ".join(words_of(x)) for x in strings(whole.column(0).slice(i, 256))]
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(_hash_of, joined)), pa.int64()), pa.array(joined, pa.binary())], names=["hash", "text"])
+
+
+def _with_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose last column is the text -> the same with the hash of its words in the last column's place."""
+    for whole in batches:
+        for i in range(0, whole.num_rows, 1024):
+            b = whole.slice(i, 1024)
+            hashes = pa.array([_hash_of(b" ".join(words_of(x))) for x in strings(b.column(b.num_columns - 1))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], hashes], schema=pa.schema([*list(b.schema)[:-1], pa.field("__hash", pa.int64())]))
 
 
-def similar_texts(sets: list[np.ndarray], nodes: list[int]) -> list[tuple[int, int]]:
+def similar_texts(sets: list[np.ndarray], nodes: list[int], groups: list[int]) -> list[tuple[int, int]]:
     """A spanning forest of the links of SIMILAR or more among texts, given as sets of shingles; a text is measured against
-    all later ones, unless all of those that are near enough in size are connected with it already."""
+    all later ones, unless all of those that are near enough in size are connected with it already. Texts of one group
+    are connected from the start."""
     sizes = np.array([len(x) for x in sets])
     starts = np.concatenate(([0], np.cumsum(sizes)))
     vocabulary, at = np.unique(np.concatenate(sets), return_inverse=True)
+    at = at.astype(np.int32)
     mark = np.zeros(len(vocabulary), bool)
-    label = np.arange(len(sets))
+    label = np.unique(np.array(groups), return_inverse=True)[1]
     part, of = SIMILAR
     out = []
     for i in range(len(sets) - 1):
@@ -257,7 +286,7 @@ def similar_texts(sets: list[np.ndarray], nodes: list[int]) -> list[tuple[int, i
         first = i + 1 + int(open_.argmax())
         own = at[starts[i] : starts[i + 1]]
         mark[own] = True
-        both = np.add.reduceat(mark[at[starts[first] :]].astype(np.int64), starts[first:-1] - starts[first])
+        both = np.add.reduceat(mark[at[starts[first] :]].astype(np.int32), starts[first:-1] - starts[first])
         mark[own] = False
         for j in np.flatnonzero(open_[first - i - 1 :] & (of * both >= part * (sizes[first:] + sizes[i] - both))) + first:
             if label[j] != label[i]:
@@ -267,44 +296,70 @@ def similar_texts(sets: list[np.ndarray], nodes: list[int]) -> list[tuple[int, i
 
 
 def _text_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, hash, text) sorted by cell -> links; one cell is held at a time, which paragraph_links bounds."""
-    now, sets, nodes = None, [], []
+    """Rows (cell, hash, text, group) sorted by cell -> links; one cell is held at a time, which banded_links bounds."""
+    now, sets, nodes, groups = None, [], [], []
 
     def done() -> pa.RecordBatch:
-        got = similar_texts(sets, nodes)
+        got = similar_texts(sets, nodes, groups)
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in got], pa.int64()), pa.array([b for _, b in got], pa.int64())], names=["a", "b"])
 
-    for b in batches:
-        for cell, node, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if cell != now:
-                if len(nodes) > 1:
-                    yield done()
-                now, sets, nodes = cell, [], []
-            sets.append(text_shingles(text.split(b" ")))
-            nodes.append(node)
-    if len(nodes) > 1:
+    for whole in batches:
+        for i in range(0, whole.num_rows, 256):
+            for cell, node, text, group in zip(*(c.to_pylist() for c in whole.slice(i, 256).columns), strict=True):
+                if cell != now:
+                    if len(set(groups)) > 1:
+                        yield done()
+                    now, sets, nodes, groups = cell, [], [], []
+                sets.append(text_shingles(text.split(b" ")))
+                nodes.append(node)
+                groups.append(group)
+    if len(set(groups)) > 1:
         yield done()
 
 
+def similar_components(docs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(node, component) of the texts (id, text) in docs that are like another, nodes being the hashes in sketches.
+
+    FIRST of the bands are searched to begin with. Most near copies are connected then, and of the other bands only the
+    buckets count whose texts are not all of one component, so few texts travel twice.
+    """
+    kinds = sketches.where("bands is not null").groupBy("hash").agg(F.min("size").alias("size"), F.min("bands").alias("bands"), F.min("id").alias("low"))
+    kinds = materialize(kinds, "kinds")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        ids = kinds.join(wanted.select(F.col("hash").alias("wanted")), F.col("hash") == F.col("wanted"), "left_semi").select("hash", "low")
+        some = docs.join(ids.select("low").distinct(), F.col("id") == F.col("low"), "left_semi").select("text").mapInArrow(_words, "hash long, text binary")
+        # an id that repeats brings its other texts along
+        return some.join(ids.select(F.col("hash").alias("asked")), F.col("hash") == F.col("asked"), "left_semi").dropDuplicates(["hash"])
+
+    links = materialize(banded_links(kinds.withColumn("bands", F.slice("bands", 1, FIRST)), texts_of, _text_cells), "links")
+    first = materialize(components(links), "components")
+    more = banded_links(kinds.withColumn("bands", F.slice("bands", FIRST + 1, BANDS)), texts_of, _text_cells, first)
+    stars = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return components(stars.union(more))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but one of each group of near copies: the row with the smallest id stays (one of them, if it
-    repeats).
+    """docs without all but one of each group of near copies: the row with the smallest id stays.
 
     Groups are the components of the pairs whose sets of five-word shingles (A-Z lower-cased) have a Jaccard similarity of
-    0.8 or more. A text of fewer than five words is one shingle, and texts without words are copies of each other. Rows
-    with a null id stay as they are. Columns are those of docs.
+    0.8 or more. A text of fewer than five words is one shingle, and texts without words (null, empty, white space) are
+    copies of each other. Rows are told apart by id and words, not by id alone: rows that share an id but are not alike
+    all stay; of rows with the same id and words one stays, whichever. Rows with a null id stay as they are and link
+    nothing. Columns are those of docs, which may have any other names but __hash. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = materialize(rows.mapInArrow(_texts, "id long, hash long, bands array<long>, text binary"), "texts")
-    # copies of any number are one entry from here on
-    classes = texts.groupBy("hash").agg(F.min("id").alias("low"))
-    links = paragraph_links(texts.where("bands is not null").select("hash", "bands", "text").dropDuplicates(["hash"]), _text_cells)
-    found = components(links)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    sketches = materialize(rows.mapInArrow(_sketches, "id long, hash long, size int, bands array<long>"), "sketches")
+    found = materialize(similar_components(rows, sketches), "similar")
+    # copies of any number are one entry here
+    classes = sketches.groupBy("hash").agg(F.min("id").alias("low"))
     groups = classes.join(found, F.col("hash") == F.col("node"), "left").groupBy(F.coalesce("component", "hash").alias("component"))
-    heads = groups.agg(F.min("low").alias("__head")).where("__head is not null").select("__head").distinct()
-    plain = docs.where(F.col(id_col).isNotNull()).join(heads, F.col(id_col) == F.col("__head"), "left_semi")
-    # a repeated id: only one of its rows may stay; the choice is by text, then arbitrary among equal rows
-    return plain.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    heads = groups.agg(F.min(F.struct("low", "hash")).alias("head")).select(F.col("head.low").alias("__low"), F.col("head.hash").alias("__of"))
+    schema = T.StructType([*docs.schema.fields, T.StructField("__hash", T.LongType())])
+    hashed = docs.where(F.col(id_col).isNotNull()).withColumn("__hash", F.col(text_col).cast("string")).mapInArrow(_with_hash, schema)
+    # a merge join leaves the rows of an id and hash together, so that one of them can be taken without a second exchange
+    kept = hashed.join(heads.hint("merge"), (F.col(id_col).cast("long") == F.col("__low")) & (F.col("__hash") == F.col("__of")), "left_semi")
+    return kept.dropDuplicates([id_col, "__hash"]).drop("__hash").unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

@@ -28,6 +28,8 @@ LEAST = 50
 WINDOW, REACH = 20, 6
 #: Members of a block of a bucket; larger buckets are compared block by block. Blocks grow with a bucket up to MOST.
 BLOCK, MOST = 128, 2048
+#: Words of a block, about.
+BLOCK_WORDS = 1 << 19
 
 _MUL = np.random.default_rng(17).integers(1, 1 << 63, BANDS * ROWS, np.uint64) | np.uint64(1)
 _ADD = np.random.default_rng(18).integers(1, 1 << 63, BANDS * ROWS, np.uint64)
@@ -164,7 +166,7 @@ def similar_links(texts: list[bytes], nodes: list[int]) -> list[tuple[int, int]]
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, hash, text) sorted by cell -> links; one cell is held at a time, of two blocks at most."""
+    """Rows (cell, hash, text, group) sorted by cell -> links; one cell is held at a time, of two blocks at most."""
     now, texts, nodes = None, [], []
 
     def done() -> pa.RecordBatch:
@@ -172,7 +174,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in got], pa.int64()), pa.array([b for _, b in got], pa.int64())], names=["a", "b"])
 
     for b in batches:
-        for cell, node, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for cell, node, text, _ in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if cell != now:
                 if len(nodes) > 1:
                     yield done()
@@ -183,30 +185,44 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def paragraph_links(paragraphs: DataFrame, cells: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = _cells) -> DataFrame:
-    """Links (a, b) between hashes of similar paragraphs of `paragraphs` (hash, bands, text; equal hashes may repeat), as
-    `cells` finds them among those that share a band."""
-    spark = paragraphs.sparkSession
+def banded_links(kinds: DataFrame, texts_of: Callable[[DataFrame], DataFrame], cells: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], joined: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) between hashes of similar texts, as `cells` finds them among those that share a band.
+
+    kinds: (hash, size, bands), a hash once, size in words; texts_of: the distinct (hash, text) of the hashes in a frame's
+    column hash; joined: (node, component) of hashes that are linked already, whose common buckets need no comparison.
+    cells gets rows (cell, hash, text, group), group being the component or the hash itself.
+    """
+    spark = kinds.sparkSession
     n = parts(spark)
-    kinds = materialize(paragraphs.select("hash", "bands").dropDuplicates(["hash"]), "kinds")
-    keyed = kinds.select("hash", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("hash").cast("decimal(38,0)")).alias("members")).where("size > 1")
+    keyed = kinds.select("hash", "size", F.explode("bands").alias("key"))
+    if joined is None:
+        keyed = keyed.withColumn("group", F.col("hash"))
+    else:
+        known = joined.select(F.col("node").alias("known"), "component")
+        keyed = keyed.join(known, F.col("hash") == F.col("known"), "left").select("hash", "size", "key", F.coalesce("component", "hash").alias("group"))
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("number"), F.sum("size").alias("words"), F.min("group").alias("low"), F.max("group").alias("high"), F.sum(F.xxhash64("hash").cast("decimal(38,0)")).alias("members"))
     # the same members often meet in several bands; one of these buckets is enough
-    buckets = buckets.groupBy("size", "members").agg(F.min("key").alias("bucket")).select("bucket", "size")
+    buckets = buckets.where("low < high").groupBy("number", "members").agg(F.min("key").alias("bucket"), F.max("words").alias("words"))
+    # a block is bounded in texts and in words
+    few = F.least(F.lit(MOST), F.greatest(F.lit(BLOCK), F.col("number") / 8))
+    buckets = buckets.withColumn("blocks", F.greatest(F.ceil(F.col("number") / few), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int")).select("bucket", "blocks")
     buckets = materialize(buckets, "buckets")
-    held = materialize(keyed.join(buckets, F.col("key") == F.col("bucket")).select("bucket", "size", "hash"), "held")
-    wanted = held.select(F.col("hash").alias("wanted")).distinct()
-    texts = paragraphs.select("hash", "text").join(wanted, F.col("hash") == F.col("wanted"), "left_semi").dropDuplicates(["hash"])
-    texts = materialize(texts.select(F.col("hash").alias("of"), "text"), "texts")
-    block = F.least(F.lit(MOST), F.greatest(F.lit(BLOCK), (F.col("size") / 8).cast("int")))
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64("hash", F.lit(1)), blocks).cast("int")
-    dealt = held.select("bucket", "hash", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    held = materialize(keyed.join(buckets, F.col("key") == F.col("bucket")).select("bucket", "blocks", "hash", "group"), "held")
+    texts = materialize(texts_of(held.select("hash").distinct()).select(F.col("hash").alias("of"), "text"), "texts")
+    own = F.pmod(F.xxhash64("hash", F.lit(1)), F.col("blocks")).cast("int")
+    dealt = held.select("bucket", "hash", "group", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cell = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-    rows = dealt.select(cell.alias("cell"), "hash").distinct().join(texts, F.col("hash") == F.col("of")).select("cell", "hash", "text")
+    rows = dealt.select(cell.alias("cell"), "hash", "group").distinct().join(texts, F.col("hash") == F.col("of")).select("cell", "hash", "text", "group")
     return rows.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(cells, "a long, b long")
 
 
+def paragraph_links(paragraphs: DataFrame) -> DataFrame:
+    """Links (a, b) between hashes of similar paragraphs of `paragraphs` (hash, n, bands, text; equal hashes may repeat)."""
+    kinds = materialize(paragraphs.select("hash", F.col("n").alias("size"), "bands").dropDuplicates(["hash"]), "kinds")
+    texts_of = lambda wanted: paragraphs.select("hash", "text").join(wanted.select(F.col("hash").alias("wanted")), F.col("hash") == F.col("wanted"), "left_semi").dropDuplicates(["hash"])
+    return banded_links(kinds, texts_of, _cells)
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (row, id, start, n, hash) sorted by row and start -> the same with the start and length of their passage."""
     held: list[tuple] = []
@@ -273,7 +289,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     # paragraphs: similar to another, or the same in two documents
     lines = found.where("kind = 0")
-    links = materialize(paragraph_links(lines.select("hash", "bands", "text")), "links")
+    links = materialize(paragraph_links(lines.select("hash", "n", "bands", "text")), "links")
     paragraphs = lines.select(F.col("hash").alias("node"), "id", "start", "n").withColumn("kind", F.lit("paragraph"))
 
     comps = materialize(components(window_edges.union(links)), "comps").withColumnRenamed("node", "member")
