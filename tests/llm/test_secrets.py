@@ -56,3 +56,30 @@ def test_edge_cases(spark):
     assert red.columns == docs.columns
     assert sorted((r.text or "", r.n_chars) for r in red.collect()) == [("", 0), ("", 0), ("[SECRET]", 8), ("[SECRET] end", 12), ("[SECRET] end", 12)]
     assert S.scan_secrets(docs.limit(0)).count() == 0 and S.redact_secrets(docs.limit(0)).count() == 0
+
+
+def test_many_repositories_of_one_owner_make_an_example(spark):
+    rows = [(i, f"x ghp_{'Q' * 24} y password=hunter22", "one") for i in range(S.COPIED_REPOS)] + [(100 + i, f"x ghp_{'Z' * 24} y", "one") for i in range(S.COPIED_REPOS - 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.n_vendor, r.n_live, r.n_assign) for r in S.scan_secrets(docs).collect()}
+    assert got == {i: (0, 0, 1) if i < 100 else (1, 1, 0) for i, *_ in rows}
+    red = {r.doc_id: r.text for r in S.redact_secrets(docs).collect()}
+    assert red[0] == rows[0][1].replace("password=hunter22", "[EXAMPLE]") and red[100] == "x [SECRET] y"
+
+
+def test_texts_with_many_findings(spark):
+    import time
+
+    words = []
+    for i in range(60_000):
+        words += [f"é{i}", hashlib.sha1(str(i).encode()).hexdigest(), "😀" * (i % 7)]
+    big = " ".join(words)
+    rows = [(1, big, "a"), (2, ("token=" + "ab12" * 8 + "/") * 300 + "é" * 9000 + " AKIA" + "A1" * 10, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    began = time.time()
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in S.scan_secrets(docs).collect()}
+    assert got == {d: brute(t) for d, t, _ in rows}
+    red = {r.doc_id: r.text for r in S.redact_secrets(docs).collect()}
+    assert red[1] == re.sub("[0-9a-f]{24,}", "[SECRET]", big)
+    assert red[2] == "[SECRET]" + "é" * 9000 + " [SECRET]"
+    assert time.time() - began < 60
