@@ -3,12 +3,16 @@
 Benchmark passages become TF-IDF rows, with document frequencies counted over the whole corpus; a distributed randomised
 SVD (subspace iteration on sketches) gives a latent space of RANK dimensions; windows of every document are folded into
 it and compared with the passages by cosine. Candidates are settled by the longest common subsequence of words; where it
-covers the passage only in part, as in a paraphrase, the passage's last words (its answer) must be there too.
+covers the passage only in part, as in a paraphrase, the passage's last words (its answer) must be there too. Items too
+short for that are matched exactly, as runs of words.
+
+One model (terms, document frequencies, latent space) covers the whole benchmark, and a passage's thresholds are its own,
+so what is found doesn't depend on how passages are dealt to blocks.
 """
 
 from __future__ import annotations
 
-import math
+import re
 import string
 from collections import Counter
 from collections.abc import Iterator
@@ -19,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import parts, strings
+from skein.llm.common import materialize, parts, strings
 
 RANK, OVERSAMPLE, ROUNDS, SEED = 128, 16, 3, 5
-#: Items that are searched for at a time; a larger benchmark is searched for in blocks of so many, each a pass.
-BLOCK_ITEMS = 20_000
-#: Words of a passage at most; longer items give overlapping passages, shorter items than LEAST are not searched for.
-PASSAGE, LEAST = 64, 5
+#: Passages that are searched for at a time; a larger benchmark is searched for in blocks of about so many, each a pass.
+BLOCK_PASSAGES = 20_000
+#: Words of a passage at most; longer items give overlapping passages. Items of fewer words than LEAST are matched exactly,
+#: those of fewer than INSIDE only as a whole line, since two words are no passage of a text.
+PASSAGE, LEAST, INSIDE = 64, 5, 3
 #: Words of a step; windows are of 2 and 4 steps.
 STEP = 12
 COSINE = 0.6
@@ -39,7 +44,13 @@ PAIR_SLOTS = 1 << 22
 REMEMBERED = 600_000
 
 #: What is cut from the ends of a word: ASCII and common typographic marks.
-MARKS = string.punctuation + "«»“”„‘’‚…–—·•¡¿"
+MARKS = string.punctuation + "«»“”„‘’‚…–—·•¡¿。、，！？：；（）「」『』《》〈〉"
+#: Letters of scripts without spaces between words (Thai to Khmer, kana, Han): each counts as a word.
+UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
+
+
+def spaced(text: str) -> str:
+    return text if text.isascii() or UNSPACED.search(text) is None else UNSPACED.sub(r" \1 ", text)
 
 
 def normal(word: str) -> str:
@@ -47,12 +58,15 @@ def normal(word: str) -> str:
     return word.lower().strip(MARKS)
 
 
+def words_in(text: str | None) -> list[str]:
+    return [w for w in map(normal, spaced(text or "").split()) if w]
+
+
 def passages_of(text: str | None) -> list[list[str]]:
-    words = [w for w in map(normal, (text or "").split()) if w]
-    if len(words) < LEAST:
-        return []
+    """The passages of an item; one shorter than LEAST words is a passage of its own, matched exactly."""
+    words = words_in(text)
     if len(words) <= PASSAGE:
-        return [words]
+        return [words] if words else []
     half = PASSAGE // 2
     return [words[i : i + PASSAGE] for i in range(0, len(words) - half, half)]
 
@@ -78,7 +92,7 @@ class Vocabulary(dict):
 
     def ids(self, text: str) -> np.ndarray:
         """Numbers of a text's words; words that are nothing but marks are left out, as in passages."""
-        words = text.split()
+        words = spaced(text).split()
         out = np.array(list(map(self.__getitem__, words)), np.int32)
         kept = out <= self.outside
         return out if kept.all() else out[kept]
@@ -86,7 +100,7 @@ class Vocabulary(dict):
 
 def terms_in(text: str, terms: dict[str, int]) -> set[str]:
     """The terms that a text holds; only words with a mark at an end are looked at one by one."""
-    words = set(text.lower().split())
+    words = set(spaced(text).lower().split())
     marked = {w.strip(MARKS) for w in words if w[-1] in MARKS or w[0] in MARKS}
     # of the other words none changes by stripping
     return (terms.keys() & words) | (terms.keys() & marked)
@@ -200,20 +214,45 @@ def common_subsequence(a: list[int] | np.ndarray, b: list[int] | np.ndarray) ->
 
 
 class Searcher:
-    def __init__(self, model: dict):
-        self.m = model
-        self.vocabulary = Vocabulary(model["terms"])
-        idf = model["idf"].astype(np.float32)
-        self.latent = np.vstack([model["latent"] * idf[:, None], np.zeros((1, model["latent"].shape[1]), np.float32)])
-        self.times = [Counter(w) for w in model["words"]]
+    """Finds a block's passages in texts. base: terms, idf, latent of the whole benchmark; block: rows, item, words."""
+
+    def __init__(self, base: dict, block: dict, vocabulary: Vocabulary | None = None):
+        self.m = block
+        self.vocabulary = vocabulary or Vocabulary(base["terms"])
+        idf = base["idf"].astype(np.float32)
+        self.latent = np.vstack([base["latent"] * idf[:, None], np.zeros((1, base["latent"].shape[1]), np.float32)])
+        self.times = [Counter(w) for w in block["words"]]
         self.mass = np.append(idf, np.float32(0))
         self.pairs = np.zeros(PAIR_SLOTS, bool)
-        lightest = np.inf
-        for w in map(np.array, model["words"]):
+        self.weights = np.full(len(block["words"]), np.inf)
+        self.sets: list[set] = []
+        self.exact: dict[int, dict[bytes, list[int]]] = {}
+        for p, w in enumerate(map(np.array, block["words"])):
+            self.sets.append(set(zip(w[:-1].tolist(), w[1:].tolist(), strict=True)) | set(zip(w[:-2].tolist(), w[2:].tolist(), strict=True)))
+            if len(w) < LEAST:
+                self.exact.setdefault(len(w), {}).setdefault(w.astype(np.int32).tobytes(), []).append(p)
+                continue
             self.pairs[self._slots(w[:-1], w[1:])] = True
             self.pairs[self._slots(w[:-2], w[2:])] = True
-            lightest = min(lightest, float((self.mass[w[:-1]] + self.mass[w[1:]]).sum()))
-        self.least = PAIRS * lightest
+            self.weights[p] = float((self.mass[w[:-1]] + self.mass[w[1:]]).sum())
+        #: What a window must hold for the lightest passage; each passage asks for its own share when it is settled.
+        self.least = PAIRS * self.weights.min(initial=np.inf)
+
+    def short(self, text: str, ids: np.ndarray) -> set[int]:
+        """Short passages that stand in a text, word for word; those under INSIDE words as a line of it."""
+        found: set[int] = set()
+        for n, known in self.exact.items():
+            if n >= INSIDE:
+                first = np.array(sorted({int(np.frombuffer(k, np.int32)[0]) for k in known}))
+                for at in np.flatnonzero(np.isin(ids[: max(0, len(ids) - n + 1)], first)):
+                    found.update(known.get(ids[at : at + n].astype(np.int32).tobytes(), ()))
+        lines = {n: known for n, known in self.exact.items() if n < INSIDE}
+        if lines:
+            for line in text.split("\n"):
+                if len(line) < 400:
+                    got = self.vocabulary.ids(line)
+                    found.update(lines.get(len(got), {}).get(got.astype(np.int32).tobytes(), ()))
+        return found
 
     @staticmethod
     def _slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -221,11 +260,14 @@ class Searcher:
 
     def __call__(self, text: str) -> list[tuple[int, float, float]]:
         """(item number, share of the passage in the common subsequence, cosine) of the items that a text holds."""
-        m = self.m
         ids = self.vocabulary.ids(text)
-        n = len(ids)
-        if n < LEAST:
-            return []
+        found = {int(self.m["item"][p]): (1.0, 1.0) for p in self.short(text, ids)} if self.exact else {}
+        if len(ids) >= LEAST and self.least < np.inf:
+            self._search(ids, found)
+        return [(i, *x) for i, x in found.items()]
+
+    def _search(self, ids: np.ndarray, found: dict[int, tuple[float, float]]) -> None:
+        m, n = self.m, len(ids)
         steps = -(-n // STEP)
         padded = np.full(steps * STEP, self.vocabulary.outside, np.int32)
         padded[:n] = ids
@@ -239,7 +281,7 @@ class Searcher:
         held = np.concatenate(([0], np.cumsum(weight.reshape(steps, STEP).sum(1))))
         near = held[np.minimum(np.arange(steps) + 4, steps)] - held[:-1] >= self.least
         if not near.any():
-            return []
+            return
         # steps of windows that can matter
         needed = np.zeros(steps + 4, bool)
         for k in range(4):
@@ -251,7 +293,6 @@ class Searcher:
             of = inside // STEP
             firsts = np.concatenate(([0], np.flatnonzero(np.diff(of)) + 1))
             sums[of[firsts]] = np.add.reduceat(self.latent[padded.ravel()[inside]], firsts, axis=0)
-        found: dict[int, tuple[float, float]] = {}
         tried: set[tuple[int, int]] = set()
         two = sums[:-1] + sums[1:]
         four = two[:-2] + two[2:]
@@ -271,7 +312,13 @@ class Searcher:
                     share = self._settle(ids, first * STEP, width * STEP, p)
                     if share and share > found.get(item, (0, 0))[0]:
                         found[item] = (share, float(cos[r, p]))
-        return [(i, *x) for i, x in found.items()]
+
+    def _held(self, around: np.ndarray, p: int) -> float:
+        held, own = 0.0, self.sets[p]
+        for gap in (1, 2):
+            a, b = around[:-gap], around[gap:]
+            held += sum(float(self.mass[x] + self.mass[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True) if (x, y) in own)
+        return held
 
     def _settle(self, ids: np.ndarray, start: int, width: int, p: int) -> float:
         """Share of passage p in the common subsequence with the words around a window; 0 if that isn't enough."""
@@ -284,7 +331,8 @@ class Searcher:
         if sum(map(times.__getitem__, times.keys() & set(around.tolist()))) < PARAPHRASED * n:
             return 0.0
         reach, best = n + n // 4 + 2, 0.0
-        if common_subsequence(passage, around.tolist()) < PARAPHRASED * n:
+        # the passage's own pairs must weigh enough, whatever other passages made the window worth a look
+        if self._held(around, p) < PAIRS * self.weights[p] or common_subsequence(passage, around.tolist()) < PARAPHRASED * n:
             return 0.0
         for i in range(0, max(1, len(around) - reach + max(1, n // 8)), max(1, n // 8)):
             piece = around[i : i + reach].tolist()
@@ -298,76 +346,117 @@ class Searcher:
         return best
 
 
-def search_model(docs: DataFrame, items: list[tuple[int | None, str | None]], text_col: str) -> dict | None:
-    """What the search needs of one block of items; None if no item has a passage."""
+def search_base(docs: DataFrame, items: DataFrame, text_col: str) -> dict | None:
+    """Terms of the whole benchmark, their idf over all of docs, and the latent space; None if no item has a word.
+
+    The driver and each task hold a row of RANK numbers a term: bounded by the benchmark's vocabulary, not by the corpus.
+    """
     spark = docs.sparkSession
-    cut = [(i, p) for i, (_, text) in enumerate(items) for p in passages_of(text)]
-    if not cut:
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({w for t in strings(b.column(0)) for w in words_in(t)}), pa.string())], names=["term"])
+
+    terms = sorted(r.term for r in items.select("text").mapInArrow(words, "term string").distinct().collect())
+    if not terms:
         return None
-    terms = sorted({w for _, p in cut for w in p})
-    number = {t: i for i, t in enumerate(terms)}
     df, n = document_counts(docs, terms, text_col)
     idf = np.log((1 + n) / (1 + df)) + 1e-3
-    rows = spark.createDataFrame([(t,) for _, t in items], "text string").repartition(max(1, min(parts(spark), len(items) // 256)))
-    latent = randomised_svd(rows, terms, idf)
-    words = [np.array([number[w] for w in p]) for _, p in cut]
-    folded = np.zeros((len(cut), latent.shape[1]), np.float32)
-    for i, w in enumerate(words):
-        ids, weight = tf_idf(w, idf)
-        folded[i] = weight @ latent[ids]
-    folded /= np.maximum(np.linalg.norm(folded, axis=1, keepdims=True), 1e-9)
-    return {"terms": terms, "idf": idf, "latent": latent, "rows": folded, "item": np.array([i for i, _ in cut]), "words": [w.tolist() for w in words]}
-
-
-def _models(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, text_col: str):
-    """A model for each block of items. The benchmark is read in blocks of BLOCK_ITEMS rows, never as a whole."""
-    rows = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
-    blocks = max(1, -(-rows.count() // BLOCK_ITEMS))
-    for k in range(blocks):
-        some = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
-        items = [(r.id, r.text) for r in some.orderBy("id", "text").collect()]
-        model = search_model(docs, items, text_col)
-        if model is not None:
-            yield [i for i, _ in items], docs.sparkSession.sparkContext.broadcast(model)
+    latent = randomised_svd(items.select("text").repartition(parts(spark)), terms, idf)
+    return {"terms": terms, "idf": idf, "latent": latent}
+
 
+def search_blocks(items: DataFrame, base: dict, size: int) -> Iterator[dict]:
+    """The passages in blocks of about `size`, dealt by hash, so that a long item's passages go to many: (rows, item: place
+    in names, words, names)."""
+    schema = "id long, words array<string>"
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, text in zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True):
+                ps = passages_of(text)
+                for k in range(0, len(ps), 256):
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(ps[k : k + 256]), pa.int64()), pa.array(ps[k : k + 256], pa.list_(pa.string()))], names=["id", "words"])
+
+    passages = items.select("id", "text").mapInArrow(cut, schema)
+    passages = materialize(passages, "passages")
+    blocks = max(1, -(-passages.count() // size))
+    number = {t: i for i, t in enumerate(base["terms"])}
+    for k in range(blocks):
+        some = passages if blocks == 1 else passages.where(F.pmod(F.xxhash64("id", "words"), F.lit(blocks)) == k)
+        got = some.orderBy("id", "words").collect()
+        names = sorted({r.id for r in got}, key=lambda i: (i is None, i))
+        place = {i: n for n, i in enumerate(names)}
+        words = [np.array([number[w] for w in r.words], np.int32) for r in got]
+        folded = np.zeros((len(got), base["latent"].shape[1]), np.float32)
+        for i, w in enumerate(words):
+            ids, weight = tf_idf(w, base["idf"])
+            folded[i] = weight @ base["latent"][ids]
+        folded /= np.maximum(np.linalg.norm(folded, axis=1, keepdims=True), 1e-9)
+        yield {"rows": folded, "item": np.array([place[r.id] for r in got], np.int64), "words": [w.tolist() for w in words], "names": names}
+
+
+def _searches(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, text_col: str, size: int):
+    """(base, block), both broadcast, for each block of passages."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
+    base = search_base(docs, items, text_col)
+    if base is not None:
+        sc = docs.sparkSession.sparkContext
+        shared = sc.broadcast(base)
+        for block in search_blocks(items, base, size):
+            yield shared, sc.broadcast(block)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block: int = BLOCK_PASSAGES) -> DataFrame:
     """A row for each document and benchmark item whose passage it holds: id, item_id, overlap (share of the passage in
     the common subsequence) and cosine. Clean documents have no row.
 
-    Defined cases: null and empty texts hold nothing; items that are null or shorter than LEAST words are not searched
-    for; equal rows each give their rows; null ids pass through; other columns are ignored; an empty table gives an
-    empty result.
+    Defined cases: null and empty texts hold nothing; null items and items without a word are not searched for; items of
+    fewer than LEAST words are found where they stand word for word, those of fewer than INSIDE words as a line of their
+    own; in scripts without spaces each letter is a word; equal rows each give their rows; null ids pass through; other
+    columns are ignored; an empty table gives an empty result. Callers on a cluster run skein.session.ship first.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"`{id_col}` long, `{item_col}` long, overlap double, cosine double"
-    out = spark.createDataFrame([], schema)
-    for names, shared in _models(docs, benchmark, item_col, item_text_col, text_col):
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    schema = "id long, row long, item long, overlap double, cosine double"
+    found = []
+    for base, shared in _searches(docs, benchmark, item_col, item_text_col, text_col, block):
 
-        def run(batches: Iterator[pa.RecordBatch], names=names, shared=shared) -> Iterator[pa.RecordBatch]:
-            search = Searcher(shared.value)
+        def run(batches: Iterator[pa.RecordBatch], base=base, shared=shared) -> Iterator[pa.RecordBatch]:
+            search, names = Searcher(base.value, shared.value), shared.value["names"]
             for b in batches:
-                got = [(d, names[i], share, cos) for d, text in zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True) for i, share, cos in search(text)]
-                d, i, s, c = zip(*got, strict=True) if got else ((),) * 4
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64()), pa.array(c, pa.float64())], names=[id_col, item_col, "overlap", "cosine"])
-
-        out = out.union(rows.mapInArrow(run, schema))
-    return out
-
-
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs that hold no passage of the benchmark, with docs' own columns, without a shuffle."""
-    out = docs
-    for _, shared in _models(docs, benchmark, item_col, item_text_col, text_col):
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            search = Searcher(shared.value)
+                got = [(d, r, names[i], share, cos) for d, r, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strings(b.column(1)), strict=True) for i, share, cos in search(text)]
+                cols = zip(*got, strict=True) if got else ((),) * 5
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["id", "row", "item", "overlap", "cosine"])
+
+        found.append(rows.mapInArrow(run, schema))
+    if len(found) > 1:  # an item's passages may be in several blocks; each pass is written, so one block is held at a time
+        found = [materialize(f, "found") for f in found]
+    out = found[0] if found else spark.createDataFrame([], schema)
+    for f in found[1:]:
+        out = out.union(f)
+    if len(found) > 1:
+        best = F.max(F.struct("overlap", "cosine")).alias("best")
+        out = out.groupBy("id", "row", "item").agg(best).select("id", "item", "best.overlap", "best.cosine")
+    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "overlap", "cosine")
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block: int = BLOCK_PASSAGES) -> DataFrame:
+    """The rows of docs that hold no passage of the benchmark, with docs' own columns, without a shuffle. Each block of
+    passages is a pass over what the one before has kept."""
+    out, passes = docs, 0
+    for base, shared in _searches(docs, benchmark, item_col, item_text_col, text_col, block):
+
+        def run(batches: Iterator[pa.RecordBatch], base=base, shared=shared) -> Iterator[pa.RecordBatch]:
+            search = Searcher(base.value, shared.value)
             for b in batches:
                 mask = pa.array([not search(x) for x in strings(b.column(b.schema.names.index("__text")))])
                 yield b.drop_columns(["__text"]).filter(mask)
 
+        if passes:
+            out = materialize(out, "kept")
         out = out.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(run, docs.schema)
+        passes += 1
     return out
 
 
