@@ -58,3 +58,38 @@ def test_names_of_boxes():
 def test_headings_of_unmarked_pages():
     page = '<body><div class="header">Site</div><div class="post-header"><h1>Title of it</h1></div><div class="post"><p>A long paragraph that is the text of this page.</p></div><div class="footer">End</div></body>'
     assert H.main_text(page) == "Title of it A long paragraph that is the text of this page."
+
+
+LONG = "A sentence of the article that says at some length what there is to say about its matter, and then goes on."
+
+
+def test_nothing_else_is_dropped():
+    assert H.main_text(f"<div><p>{LONG}</p></div><nav>menu</nav><div><p>Short closing.</p></div>") == f"{LONG} Short closing."
+    assert H.main_text(f"<div><p>{LONG}</p><p>See <a href=x>all of this linked sentence</a></p><p><a href=y>Only a link</a></p><p>{LONG}</p></div>") == f"{LONG} See all of this linked sentence Only a link {LONG}"
+    for attrs in ('class="share-price"', 'class="search-results-analysis"', 'id="legal-history"', 'class="notice-theory x"'):
+        assert H.main_text(f"<article><p>{LONG}</p><div {attrs}>Text of it.</div></article>") == f"{LONG} Text of it.", attrs
+
+
+def test_windows_decide():
+    # a run of lines without text of their own is a dive, a shorter one is not
+    links = lambda n: "".join(f"<li><a href=/{i}>entry number {i}</a></li>" for i in range(n))
+    assert H.main_text(f"<p>{LONG}</p><ul>{links(3)}</ul><p>{LONG}</p>") == f"{LONG} {LONG}"
+    assert "entry number 1" in H.main_text(f"<p>{LONG}</p><ul>{links(2)}</ul><p>{LONG}</p>")
+    assert H.main_text(f"<ul>{links(2)}</ul>") == ""
+    # a hint in a name: what is flat goes, what surges stays
+    page = "<body><div>" + f"<p>{LONG}</p>" * 4 + "<div class='price-alert'>{}</div></div></body>"
+    assert H.main_text(page.format("Buy!")) == " ".join([LONG] * 4)
+    assert H.main_text(page.format(f"<p>{LONG}</p><p>End.</p>")) == " ".join([LONG] * 5) + " End."
+    assert H.main_text("<div class='with-sidebar'><p>Alone</p></div>") == "Alone"
+
+
+def test_regions():
+    assert H.regions([0, 0, 5, 0, 0, 0, 7, 0, 0]) == [(0, 3), (6, 9)]
+    assert H.regions([0, 0]) == [] and H.regions([0, 4]) == [(0, 2)] and H.regions([]) == []
+
+
+def test_unmarked_pages_of_the_same_articles(spark, sf):
+    """The pages with their article element taken away give the same text: boxes and windows do without the mark."""
+    pages = [(r.page_id, r.html) for r in table(spark, sf, "pages").collect()]
+    same = sum(H.main_text(h) == H.main_text(h.replace("<article>", "<div>").replace("</article>", "</div>")) for _, h in pages)
+    assert same == len(pages)
