@@ -34,9 +34,40 @@ def test_max_plus_is_associative():
     assert (S.max_plus(S.max_plus(a, b), c) == S.max_plus(a, S.max_plus(b, c))).all()
 
 
+def test_combining_in_a_tree_settles_the_same_states(sp):
+    p = S.pieces_of(S.MODEL)
+    for t in ("the" * 900, "un" * 400 + " " * 300 + "able" * 300, "日本語" * 200 + "!?" * 300):
+        t = S.prepared(t)
+        matrices = [S.Chunk(p, *c).matrix() for c in S.chunks_of(p, t, 64)]
+        assert len(matrices) > 10
+        plain = S.border_states(matrices)
+        assert all(S.tree_states(matrices, fan) == plain for fan in (2, 3, 7, 64))
+
+
+def test_units_against_the_library(sp):
+    p = S.Pieces(S.MODEL)
+    rng = random.Random(5)
+    units = {"".join(rng.choice("▁etaoinshrdlucé***$%%0123ßж日本一个😀\r.,'()x") for _ in range(rng.choice((1, 2, 5, 9, 20, 60)))) for _ in range(4000)} | {"ab" * 32, "a" * 64, "▁" * 64, "▁" * 40 + "the"}
+    units = sorted({u for t in units for u in p.unit.findall(t)})
+    assert len(units) > 3000
+    want = [sp.encode("\n" + u.replace(S.SPACE, " "))[2:] for u in units]
+    assert [np.frombuffer(x, np.int32).tolist() for x in p.merge_rows(units)] == want
+    assert [np.frombuffer(p.scanned(u), np.int32).tolist() for u in units[::7]] == want[::7]
+    long = ["the" * 500, "▁" * 700, "un" * 300 + "able"]
+    assert [np.frombuffer(p.scanned(u), np.int32).tolist() for u in long] == [sp.encode("\n" + u.replace(S.SPACE, " "))[2:] for u in long]
+
+
+def test_the_table_may_overflow(sp, monkeypatch):
+    monkeypatch.setattr(S, "REMEMBERED", 5)
+    p = S.Pieces(S.MODEL)
+    texts = ["one two three four", "five six", "one two", ""]
+    got = [np.frombuffer(p.units([S.prepared(t)])[0], np.int32).tolist() for t in texts]
+    assert got == [sp.encode(t) for t in texts]
+
+
 def test_giant_documents_in_spark(spark, sf, sp):
     docs = table(spark, sf, "documents")
-    got = {r.doc_id: (r.ids, r.n_chunks) for r in S.encode(docs, size=700).collect()}
+    got = {r.doc_id: (r.ids, r.n_chunks) for r in S.encode(docs, size=700, fan=3).collect()}
     want = {r.doc_id: sp.encode(r.text) for r in docs.collect()}
     assert {d: i for d, (i, _) in got.items()} == want and max(n for _, n in got.values()) > 5
 
