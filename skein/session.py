@@ -27,12 +27,15 @@ def get_session(master: str | None = None, app: str = "skein", **conf: str) -> S
 
 
 def settle(spark: SparkSession) -> SparkSession:
-    """Settings without which results can be wrong on the pinned Spark version.
+    """Settings without which results can be wrong on the pinned Spark version, and a bound on what goes to Python at once.
 
     4.1 lets a union of equally partitioned inputs stand for a partitioning it doesn't have once stages are re-planned at
     run time, and a window or aggregation above it then sees parts of its groups. The README has the case.
     """
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    # whole texts go to Python: 10,000 a batch would be held several times over, in the JVM and the worker
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark
 
 
