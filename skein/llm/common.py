@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -69,6 +70,15 @@ def map_arrow(df: DataFrame, schema: T.StructType | str, fn: Callable[[Iterator[
     return df.mapInArrow(fn, schema)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers live on and are handed to other tasks and operators."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it likes
+        pass
+
+
 def strings(col: pa.Array) -> list[str]:
     """The texts of an Arrow column; null counts as the empty text."""
     return [x if x is not None else "" for x in col.to_pylist()]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import materialize, parts, strings
+from skein.llm.common import materialize, parts, strings, trim
 
 RANK, OVERSAMPLE, ROUNDS, SEED = 128, 16, 3, 5
 #: Passages that are searched for at a time; a larger benchmark is searched for in blocks of about so many, each a pass.
@@ -41,7 +41,7 @@ ANSWER_WORDS = 8
 #: (neighbours and next but one) that some passage has weigh this share of the lightest passage's neighbouring pairs.
 PAIRS = 0.45
 PAIR_SLOTS = 1 << 22
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 #: What is cut from the ends of a word: ASCII and common typographic marks.
 MARKS = string.punctuation + "«»“”„‘’‚…–—·•¡¿。、，！？：；（）「」『』《》〈〉"
@@ -449,9 +449,11 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
         def run(batches: Iterator[pa.RecordBatch], base=base, shared=shared) -> Iterator[pa.RecordBatch]:
             search = Searcher(base.value, shared.value)
-            for b in batches:
-                mask = pa.array([not search(x) for x in strings(b.column(b.schema.names.index("__text")))])
+            for b in (part.slice(i, 1024) for part in batches for i in range(0, part.num_rows, 1024)):
+                mask = pa.array([not search(x) for x in strings(b.column(b.schema.names.index("__text")))], pa.bool_())
                 yield b.drop_columns(["__text"]).filter(mask)
+            del search
+            trim()
 
         if passes:
             out = materialize(out, "kept")

@@ -114,7 +114,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     ids = known.select("id", "lang", share).withColumn("k", F.row_number().over(order)).where(F.col("k") <= -(-per_lang // SHARES))
     ids = materialize(ids.select(F.col("id").alias("picked_id"), F.col("lang").alias("picked_lang")), "sample")
     got = known.join(ids, (F.col("id").eqNullSafe(F.col("picked_id"))) & (F.col("lang") == F.col("picked_lang"))).select("text", "lang", "id")
-    got = got.dropDuplicates(["id", "lang"]).orderBy("lang", "id").collect()
+    got = got.groupBy("id", "lang").agg(F.min("text").alias("text")).orderBy("lang", "id").collect()
     return prototypes([r.text for r in got], [r.lang for r in got])
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import held_out, materialize, strings
+from skein.llm.common import held_out, materialize, strings, trim
 
 BUCKETS = 1 << 17
 DIM = 16
@@ -29,7 +29,7 @@ GRAMS = (3, 4)
 SAMPLE_PER_CLASS = 1500
 EPOCHS = 8
 RATE = 0.3
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Stands for "the word before is the same", which single words and n-grams can't show.
 AGAIN = "\x00again"
 
@@ -166,13 +166,15 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, float], id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
-        for b in batches:
+        for b in (part.slice(i, 1024) for part in batches for i in range(0, part.num_rows, 1024)):
             score = [probability(scorer(x)) for x in strings(b.column(b.schema.names.index("__text") if keep else 2))]
             if keep:
                 mask = pa.array([s >= 0.5 for s in score])
                 yield b.drop_columns(["__text"]).filter(mask)
                 continue
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32())], names=["id", "held_out", "score", "predicted"])
+        scorer.sums.clear()
+        trim()
 
     if keep:
         with_text = docs.withColumn("__text", F.col(text_col).cast("string"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import components, materialize, parts, strings
+from skein.llm.common import components, materialize, parts, strings, trim
 from skein.llm.substrings import SHINGLE, _mix, _runs_of, banded_links, word_hashes, words_of
 
 RADIUS = 3
@@ -91,6 +91,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         fp = np.array([fingerprint(x) for x in strings(b.column(1))], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["id", "fp"])
+    trim()
 
 
 def _signed(x: int) -> int:
@@ -247,14 +248,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sizes.append(len(words))
                 bands.append(text_bands(text_shingles(words)).view(np.int64) if len(words) >= SHINGLE else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "hash", "size", "bands"])
-
-
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text) -> (hash of the words, words joined by a space)."""
-    for whole in batches:
-        for i in range(0, whole.num_rows, 256):
-            joined = [b" ".join(words_of(x)) for x in strings(whole.column(0).slice(i, 256))]
-            yield pa.RecordBatch.from_arrays([pa.array(list(map(_hash_of, joined)), pa.int64()), pa.array(joined, pa.binary())], names=["hash", "text"])
+    trim()
 
 
 def _with_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,6 +258,7 @@ def _with_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = whole.slice(i, 1024)
             hashes = pa.array([_hash_of(b" ".join(words_of(x))) for x in strings(b.column(b.num_columns - 1))], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], hashes], schema=pa.schema([*list(b.schema)[:-1], pa.field("__hash", pa.int64())]))
+    trim()
 
 
 def similar_texts(sets: list[np.ndarray], nodes: list[int], groups: list[int]) -> list[tuple[int, int]]:
@@ -296,7 +291,8 @@ def similar_texts(sets: list[np.ndarray], nodes: list[int], groups: list[int]) -
 
 
 def _text_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, hash, text, group) sorted by cell -> links; one cell is held at a time, which banded_links bounds."""
+    """Rows (cell, hash, text, group) sorted by cell -> links; one cell is held at a time, which banded_links bounds. A row
+    whose text has another hash is another text of a repeated id and is left out."""
     now, sets, nodes, groups = None, [], [], []
 
     def done() -> pa.RecordBatch:
@@ -310,11 +306,15 @@ def _text_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if len(set(groups)) > 1:
                         yield done()
                     now, sets, nodes, groups = cell, [], [], []
-                sets.append(text_shingles(text.split(b" ")))
-                nodes.append(node)
-                groups.append(group)
+                words = words_of(text)
+                if _hash_of(b" ".join(words)) == node:
+                    sets.append(text_shingles(words))
+                    nodes.append(node)
+                    groups.append(group)
     if len(set(groups)) > 1:
         yield done()
+    del sets
+    trim()
 
 
 def similar_components(docs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -323,15 +323,9 @@ def similar_components(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     FIRST of the bands are searched to begin with. Most near copies are connected then, and of the other bands only the
     buckets count whose texts are not all of one component, so few texts travel twice.
     """
-    kinds = sketches.where("bands is not null").groupBy("hash").agg(F.min("size").alias("size"), F.min("bands").alias("bands"), F.min("id").alias("low"))
+    kinds = sketches.where("bands is not null").groupBy("hash").agg(F.min("id").alias("key"), F.min("size").alias("size"), F.min("bands").alias("bands"))
     kinds = materialize(kinds, "kinds")
-
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        ids = kinds.join(wanted.select(F.col("hash").alias("wanted")), F.col("hash") == F.col("wanted"), "left_semi").select("hash", "low")
-        some = docs.join(ids.select("low").distinct(), F.col("id") == F.col("low"), "left_semi").select("text").mapInArrow(_words, "hash long, text binary")
-        # an id that repeats brings its other texts along
-        return some.join(ids.select(F.col("hash").alias("asked")), F.col("hash") == F.col("asked"), "left_semi").dropDuplicates(["hash"])
-
+    texts_of = lambda wanted: docs.select(F.col("id").alias("of"), F.coalesce("text", F.lit("")).alias("text"))
     links = materialize(banded_links(kinds.withColumn("bands", F.slice("bands", 1, FIRST)), texts_of, _text_cells), "links")
     first = materialize(components(links), "components")
     more = banded_links(kinds.withColumn("bands", F.slice("bands", FIRST + 1, BANDS)), texts_of, _text_cells, first)
@@ -354,12 +348,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # copies of any number are one entry here
     classes = sketches.groupBy("hash").agg(F.min("id").alias("low"))
     groups = classes.join(found, F.col("hash") == F.col("node"), "left").groupBy(F.coalesce("component", "hash").alias("component"))
-    heads = groups.agg(F.min(F.struct("low", "hash")).alias("head")).select(F.col("head.low").alias("__low"), F.col("head.hash").alias("__of"))
+    heads = groups.agg(F.min(F.struct("low", "hash")).alias("head")).select("head.low", "head.hash")
+    heads = materialize(heads, "heads")
+    ids = sketches.select("id", "hash").groupBy("id", "hash").agg(F.count(F.lit(1)).alias("n"))
+    ids = materialize(ids, "ids")
+    # what goes is less than what stays; where Spark knows it to be small, the texts needn't move at all
+    gone = materialize(ids.join(heads, (F.col("id") == F.col("low")) & (ids["hash"] == heads["hash"]), "left_anti").select(F.col("id").alias("__id"), F.col("hash").alias("__of")), "gone")
+    more = materialize(ids.where("n > 1").select(F.col("id").alias("__id"), F.col("hash").alias("__of")), "repeated")
     schema = T.StructType([*docs.schema.fields, T.StructField("__hash", T.LongType())])
     hashed = docs.where(F.col(id_col).isNotNull()).withColumn("__hash", F.col(text_col).cast("string")).mapInArrow(_with_hash, schema)
-    # a merge join leaves the rows of an id and hash together, so that one of them can be taken without a second exchange
-    kept = hashed.join(heads.hint("merge"), (F.col(id_col).cast("long") == F.col("__low")) & (F.col("__hash") == F.col("__of")), "left_semi")
-    return kept.dropDuplicates([id_col, "__hash"]).drop("__hash").unionByName(docs.where(F.col(id_col).isNull()))
+    same = (F.col(id_col).cast("long") == F.col("__id")) & (F.col("__hash") == F.col("__of"))
+    kept = hashed.join(gone, same, "left_anti")
+    if not more.isEmpty():
+        kept = kept.join(more, same, "left_anti").unionByName(kept.join(more, same, "left_semi").dropDuplicates([id_col, "__hash"]))
+    return kept.drop("__hash").unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

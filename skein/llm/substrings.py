@@ -188,38 +188,42 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def banded_links(kinds: DataFrame, texts_of: Callable[[DataFrame], DataFrame], cells: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], joined: DataFrame | None = None) -> DataFrame:
     """Links (a, b) between hashes of similar texts, as `cells` finds them among those that share a band.
 
-    kinds: (hash, size, bands), a hash once, size in words; texts_of: the distinct (hash, text) of the hashes in a frame's
-    column hash; joined: (node, component) of hashes that are linked already, whose common buckets need no comparison.
-    cells gets rows (cell, hash, text, group), group being the component or the hash itself.
+    kinds: (hash, key, size, bands), a hash once, size in words; texts_of: (of, text) with the keys in a frame's column
+    key; joined: (node, component) of hashes that are linked already, whose common buckets need no comparison. cells gets
+    rows (cell, hash, text, group), group being the component or the hash itself. Only texts of buckets travel, once for
+    each cell; what they are joined with is written first, so that Spark knows whether it may be broadcast.
     """
-    spark = kinds.sparkSession
-    n = parts(spark)
-    keyed = kinds.select("hash", "size", F.explode("bands").alias("key"))
+    n = parts(kinds.sparkSession)
+    keyed = kinds.select("hash", "key", "size", F.explode("bands").alias("band"))
     if joined is None:
         keyed = keyed.withColumn("group", F.col("hash"))
     else:
         known = joined.select(F.col("node").alias("known"), "component")
-        keyed = keyed.join(known, F.col("hash") == F.col("known"), "left").select("hash", "size", "key", F.coalesce("component", "hash").alias("group"))
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("number"), F.sum("size").alias("words"), F.min("group").alias("low"), F.max("group").alias("high"), F.sum(F.xxhash64("hash").cast("decimal(38,0)")).alias("members"))
+        keyed = kinds.join(known, F.col("hash") == F.col("known"), "left").select("hash", "key", "size", F.explode("bands").alias("band"), F.coalesce("component", "hash").alias("group"))
+    buckets = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("number"), F.sum("size").alias("words"), F.min("group").alias("low"), F.max("group").alias("high"), F.sum(F.xxhash64("hash").cast("decimal(38,0)")).alias("members"))
     # the same members often meet in several bands; one of these buckets is enough
-    buckets = buckets.where("low < high").groupBy("number", "members").agg(F.min("key").alias("bucket"), F.max("words").alias("words"))
+    buckets = buckets.where("low < high").groupBy("number", "members").agg(F.min("band").alias("bucket"), F.max("words").alias("words"))
     # a block is bounded in texts and in words
     few = F.least(F.lit(MOST), F.greatest(F.lit(BLOCK), F.col("number") / 8))
     buckets = buckets.withColumn("blocks", F.greatest(F.ceil(F.col("number") / few), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int")).select("bucket", "blocks")
     buckets = materialize(buckets, "buckets")
-    held = materialize(keyed.join(buckets, F.col("key") == F.col("bucket")).select("bucket", "blocks", "hash", "group"), "held")
-    texts = materialize(texts_of(held.select("hash").distinct()).select(F.col("hash").alias("of"), "text"), "texts")
+    held = keyed.join(buckets, F.col("band") == F.col("bucket"))
     own = F.pmod(F.xxhash64("hash", F.lit(1)), F.col("blocks")).cast("int")
-    dealt = held.select("bucket", "hash", "group", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = held.select("bucket", "hash", "key", "group", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cell = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-    rows = dealt.select(cell.alias("cell"), "hash", "group").distinct().join(texts, F.col("hash") == F.col("of")).select("cell", "hash", "text", "group")
+    dealt = materialize(dealt.select(cell.alias("cell"), "hash", "key", "group").distinct(), "cells")
+    rows = dealt.join(texts_of(dealt.select("key").distinct()), F.col("key") == F.col("of")).select("cell", "hash", "text", "group")
     return rows.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(cells, "a long, b long")
 
 
 def paragraph_links(paragraphs: DataFrame) -> DataFrame:
     """Links (a, b) between hashes of similar paragraphs of `paragraphs` (hash, n, bands, text; equal hashes may repeat)."""
-    kinds = materialize(paragraphs.select("hash", F.col("n").alias("size"), "bands").dropDuplicates(["hash"]), "kinds")
-    texts_of = lambda wanted: paragraphs.select("hash", "text").join(wanted.select(F.col("hash").alias("wanted")), F.col("hash") == F.col("wanted"), "left_semi").dropDuplicates(["hash"])
+    kinds = materialize(paragraphs.select("hash", F.col("hash").alias("key"), F.col("n").alias("size"), "bands").dropDuplicates(["hash"]), "kinds")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        some = paragraphs.select(F.col("hash").alias("of"), "text").join(wanted.withColumnRenamed("key", "wanted"), F.col("of") == F.col("wanted"), "left_semi").dropDuplicates(["of"])
+        return materialize(some, "texts")
+
     return banded_links(kinds, texts_of, _cells)
 
 
