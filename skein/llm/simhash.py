@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import components, materialize, parts, strings, trim
-from skein.llm.substrings import SHINGLE, _mix, _runs_of, banded_links, word_hashes, words_of
+from skein.llm.common import components, drop_shared, materialize, parts, strings, trim
+from skein.llm.substrings import SHINGLE, _mix, _runs_of, banded_links, labelled, shared_buckets, word_hashes, words_of
 
 RADIUS = 3
 BITS = 64
@@ -35,6 +35,8 @@ SIMILAR = 4, 5
 BANDS, ROWS = 30, 4
 #: Bands that are searched first: a pair at 0.9 is found there with probability 1 - (1 - 0.9**4)**6 = 0.998.
 FIRST = 6
+#: Members that are measured against one copy of a bucket's hub.
+HUB = 4096
 
 _MUL = np.random.default_rng(19).integers(1, 1 << 63, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
 _ADD = np.random.default_rng(20).integers(1, 1 << 63, (BANDS * ROWS, 1), np.uint64)
@@ -317,20 +319,72 @@ def _text_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trim()
 
 
+def _star_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, role, hash, text) sorted by cell and role, a cell's hub (role 0) first -> links of the hub with those that
+    are like it; one hub is held at a time."""
+    now, hub, hub_node = None, None, None
+    part, of = SIMILAR
+    for whole in batches:
+        for i in range(0, whole.num_rows, 256):
+            links = []
+            for cell, role, node, text in zip(*(c.to_pylist() for c in whole.slice(i, 256).columns), strict=True):
+                if cell != now:
+                    now, hub = cell, None
+                words = words_of(text)
+                if _hash_of(b" ".join(words)) != node:
+                    continue
+                own = text_shingles(words)
+                if role == 0:
+                    hub, hub_node = own, node
+                elif hub is not None and of * min(len(own), len(hub)) >= part * max(len(own), len(hub)):
+                    both = int(np.isin(own, hub, assume_unique=True).sum())
+                    if of * both >= part * (len(own) + len(hub) - both):
+                        links.append((hub_node, node))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], names=["a", "b"])
+    del hub
+    trim()
+
+
+def star_links(held: DataFrame, texts: DataFrame, seed: int, joined: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) of each bucket's hub, a member chosen by hash, with its other members that joined doesn't connect with
+    it. The work is linear in held; a hub of many members is copied, each copy for HUB of them."""
+    n = parts(held.sparkSession)
+    rows = labelled(held.select("bucket", "hash", "key"), joined)
+    first = F.min(F.struct(F.xxhash64("hash", F.lit(seed)).alias("order"), "hash", "key", "group")).alias("hub")
+    hubs = rows.groupBy("bucket").agg(first, F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
+    hubs = hubs.select(F.col("bucket").alias("of_bucket"), F.col("hub.hash").alias("hub"), F.col("hub.key").alias("hub_key"), F.col("hub.group").alias("hub_group"))
+    pairs = rows.join(hubs, F.col("bucket") == F.col("of_bucket")).where(F.col("group") != F.col("hub_group")).select("hub", "hub_key", "hash", "key").distinct()
+    pairs = materialize(pairs, "pairs")
+    copies = pairs.groupBy(F.col("hub").alias("of_hub"), "hub_key").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("copies"))
+    members = pairs.drop("hub_key").join(copies.drop("hub_key"), F.col("hub") == F.col("of_hub"))
+    members = members.select(F.xxhash64("hub", F.pmod(F.xxhash64("hash", F.lit(2)), F.col("copies")).cast("int")).alias("cell"), F.lit(1).alias("role"), "hash", "key")
+    own = copies.select(F.col("of_hub").alias("hash"), F.col("hub_key").alias("key"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    own = own.select(F.xxhash64("hash", "copy").alias("cell"), F.lit(0).alias("role"), "hash", "key")
+    cells = materialize(members.unionByName(own), "stars")
+    rows = cells.join(texts.hint("merge"), F.col("key") == F.col("of")).select("cell", "role", "hash", "text")
+    return rows.repartition(n, "cell").sortWithinPartitions("cell", "role").mapInArrow(_star_cells, "a long, b long")
+
+
 def similar_components(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     """(node, component) of the texts (id, text) in docs that are like another, nodes being the hashes in sketches.
 
-    FIRST of the bands are searched to begin with. Most near copies are connected then, and of the other bands only the
-    buckets count whose texts are not all of one component, so few texts travel twice.
+    First the members of each bucket are measured against one of them, in two rounds; that connects large groups in linear
+    work. What is left in a bucket unconnected is compared in all pairs, so no link between two components is missed.
     """
     kinds = sketches.where("bands is not null").groupBy("hash").agg(F.min("id").alias("key"), F.min("size").alias("size"), F.min("bands").alias("bands"))
-    kinds = materialize(kinds, "kinds")
-    texts_of = lambda wanted: docs.select(F.col("id").alias("of"), F.coalesce("text", F.lit("")).alias("text"))
-    links = materialize(banded_links(kinds.withColumn("bands", F.slice("bands", 1, FIRST)), texts_of, _text_cells), "links")
-    first = materialize(components(links), "components")
-    more = banded_links(kinds.withColumn("bands", F.slice("bands", FIRST + 1, BANDS)), texts_of, _text_cells, first)
-    stars = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return components(stars.union(more))
+    held = shared_buckets(kinds)
+    wanted = held.select(F.col("key").alias("wanted")).distinct()
+    texts = docs.select(F.col("id").alias("of"), F.coalesce("text", F.lit("")).alias("text")).join(wanted.hint("merge"), F.col("of") == F.col("wanted"), "left_semi")
+    texts = materialize(texts, "texts")
+    links = materialize(star_links(held.where(F.col("place") < FIRST), texts, 0), "links")
+    found = materialize(components(links), "components")
+    for last in (False, True):
+        more = banded_links(held, texts, _text_cells, found) if last else star_links(held, texts, 1, found)
+        stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = materialize(components(stars.union(more)), "components")
+    drop_shared(held, texts, links)
+    return found
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -344,7 +398,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     sketches = materialize(rows.mapInArrow(_sketches, "id long, hash long, size int, bands array<long>"), "sketches")
-    found = materialize(similar_components(rows, sketches), "similar")
+    found = similar_components(rows, sketches)
     # copies of any number are one entry here
     classes = sketches.groupBy("hash").agg(F.min("id").alias("low"))
     groups = classes.join(found, F.col("hash") == F.col("node"), "left").groupBy(F.coalesce("component", "hash").alias("component"))
@@ -352,13 +406,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     heads = materialize(heads, "heads")
     ids = sketches.select("id", "hash").groupBy("id", "hash").agg(F.count(F.lit(1)).alias("n"))
     ids = materialize(ids, "ids")
-    # what goes is less than what stays; where Spark knows it to be small, the texts needn't move at all
+    # what goes is less than what stays
     gone = materialize(ids.join(heads, (F.col("id") == F.col("low")) & (ids["hash"] == heads["hash"]), "left_anti").select(F.col("id").alias("__id"), F.col("hash").alias("__of")), "gone")
     more = materialize(ids.where("n > 1").select(F.col("id").alias("__id"), F.col("hash").alias("__of")), "repeated")
     schema = T.StructType([*docs.schema.fields, T.StructField("__hash", T.LongType())])
     hashed = docs.where(F.col(id_col).isNotNull()).withColumn("__hash", F.col(text_col).cast("string")).mapInArrow(_with_hash, schema)
     same = (F.col(id_col).cast("long") == F.col("__id")) & (F.col("__hash") == F.col("__of"))
-    kept = hashed.join(gone, same, "left_anti")
+    kept = hashed.join(gone.hint("merge"), same, "left_anti")
     if not more.isEmpty():
         kept = kept.join(more, same, "left_anti").unionByName(kept.join(more, same, "left_semi").dropDuplicates([id_col, "__hash"]))
     return kept.drop("__hash").unionByName(docs.where(F.col(id_col).isNull()))

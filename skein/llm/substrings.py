@@ -185,46 +185,63 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def banded_links(kinds: DataFrame, texts_of: Callable[[DataFrame], DataFrame], cells: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], joined: DataFrame | None = None) -> DataFrame:
-    """Links (a, b) between hashes of similar texts, as `cells` finds them among those that share a band.
+def shared_buckets(kinds: DataFrame) -> DataFrame:
+    """(bucket, place, hash, key, size) of the bands that several texts have, written out; kinds: (hash, key, size, bands), a
+    hash once, size in words. Joins name their form, so that a corpus of any size is moved in the same way."""
+    keyed = kinds.select("hash", "key", "size", F.posexplode("bands").alias("place", "band"))
+    buckets = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("number"), F.min("place").alias("first"), F.sum(F.xxhash64("hash").cast("decimal(38,0)")).alias("members")).where("number > 1")
+    # the same members often meet in several bands; one of these buckets is enough
+    buckets = buckets.groupBy("number", "members").agg(F.min(F.struct("first", "band")).alias("b")).select(F.col("b.band").alias("bucket"))
+    return materialize(keyed.join(buckets.hint("merge"), F.col("band") == F.col("bucket")).select("bucket", "place", "hash", "key", "size"), "held")
 
-    kinds: (hash, key, size, bands), a hash once, size in words; texts_of: (of, text) with the keys in a frame's column
-    key; joined: (node, component) of hashes that are linked already, whose common buckets need no comparison. cells gets
-    rows (cell, hash, text, group), group being the component or the hash itself. Only texts of buckets travel, once for
-    each cell; what they are joined with is written first, so that Spark knows whether it may be broadcast.
-    """
-    n = parts(kinds.sparkSession)
-    keyed = kinds.select("hash", "key", "size", F.explode("bands").alias("band"))
+
+def labelled(held: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """held with `group`, the component in joined (node, component) or the hash itself."""
     if joined is None:
-        keyed = keyed.withColumn("group", F.col("hash"))
-    else:
-        known = joined.select(F.col("node").alias("known"), "component")
-        keyed = kinds.join(known, F.col("hash") == F.col("known"), "left").select("hash", "key", "size", F.explode("bands").alias("band"), F.coalesce("component", "hash").alias("group"))
-    buckets = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("number"), F.sum("size").alias("words"), F.min("group").alias("low"), F.max("group").alias("high"), F.sum(F.xxhash64("hash").cast("decimal(38,0)")).alias("members"))
-    # the same members often meet in several bands; one of these buckets is enough
-    buckets = buckets.where("low < high").groupBy("number", "members").agg(F.min("band").alias("bucket"), F.max("words").alias("words"))
+        return held.withColumn("group", F.col("hash"))
+    known = joined.select(F.col("node").alias("known"), "component")
+    return held.join(known, F.col("hash") == F.col("known"), "left").withColumn("group", F.coalesce("component", "hash")).drop("known", "component")
+
+
+def banded_links(held: DataFrame, texts: DataFrame, cells: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], joined: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) between hashes of similar texts, as `cells` finds them among those that share a bucket of held, in all
+    pairs that joined doesn't connect already.
+
+    texts: (of, text) by key. The members of a bucket that are of its first member's component are its base, which needs
+    no comparison within itself; the others, the strangers, are compared with the base and with each other, block by
+    block. cells gets rows (cell, hash, text, group).
+    """
+    n = parts(held.sparkSession)
+    rows = labelled(held, joined)
+    buckets = rows.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.min_by("group", "hash").alias("base")).where("low < high").select(F.col("bucket").alias("of_bucket"), "base")
+    rows = materialize(rows.join(buckets, F.col("bucket") == F.col("of_bucket")).select("bucket", "hash", "key", "size", "group", (F.col("group") != F.col("base")).alias("stranger")), "members")
+    sizes = rows.groupBy("bucket", "stranger").agg(F.count(F.lit(1)).alias("number"), F.sum("size").alias("words"))
     # a block is bounded in texts and in words
     few = F.least(F.lit(MOST), F.greatest(F.lit(BLOCK), F.col("number") / 8))
-    buckets = buckets.withColumn("blocks", F.greatest(F.ceil(F.col("number") / few), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int")).select("bucket", "blocks")
-    buckets = materialize(buckets, "buckets")
-    held = keyed.join(buckets, F.col("band") == F.col("bucket"))
-    own = F.pmod(F.xxhash64("hash", F.lit(1)), F.col("blocks")).cast("int")
-    dealt = held.select("bucket", "hash", "key", "group", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cell = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = materialize(dealt.select(cell.alias("cell"), "hash", "key", "group").distinct(), "cells")
-    rows = dealt.join(texts_of(dealt.select("key").distinct()), F.col("key") == F.col("of")).select("cell", "hash", "text", "group")
-    return rows.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(cells, "a long, b long")
+    blocks = F.greatest(F.ceil(F.col("number") / few), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int")
+    of = lambda stranger: F.max(F.when(F.col("stranger") == stranger, blocks))
+    sizes = sizes.groupBy(F.col("bucket").alias("of_bucket")).agg(of(True).alias("sb"), of(False).alias("bb"))
+    rows = rows.join(sizes, F.col("bucket") == F.col("of_bucket"))
+    mine = F.pmod(F.xxhash64("hash", F.lit(1)), F.when(F.col("stranger"), F.col("sb")).otherwise(F.col("bb"))).cast("int")
+    rows = rows.withColumn("mine", mine)
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    with_base = F.when(F.col("stranger"), F.transform(upto("bb"), lambda j: F.xxhash64("bucket", F.lit("b"), "mine", j))).otherwise(F.transform(upto("sb"), lambda i: F.xxhash64("bucket", F.lit("b"), i, "mine")))
+    # strangers of one block meet in its cells with the base already
+    among = F.when(F.col("stranger") & (F.col("sb") > 1), F.transform(upto("sb"), lambda i: F.xxhash64("bucket", F.lit("s"), F.least(i, F.col("mine")), F.greatest(i, F.col("mine"))))).otherwise(F.array().cast("array<bigint>"))
+    dealt = rows.select("hash", "key", "group", "stranger", F.explode(F.concat(with_base, among)).alias("cell"))
+    dealt = materialize(dealt.groupBy("cell", "hash", "key", "group").agg(F.max("stranger").alias("stranger")), "cells")
+    rows = dealt.join(texts.hint("merge"), F.col("key") == F.col("of")).select("cell", "hash", "text", "group", "stranger")
+    return rows.repartition(n, "cell").sortWithinPartitions("cell", F.desc("stranger")).select("cell", "hash", "text", "group").mapInArrow(cells, "a long, b long")
 
 
 def paragraph_links(paragraphs: DataFrame) -> DataFrame:
     """Links (a, b) between hashes of similar paragraphs of `paragraphs` (hash, n, bands, text; equal hashes may repeat)."""
     kinds = materialize(paragraphs.select("hash", F.col("hash").alias("key"), F.col("n").alias("size"), "bands").dropDuplicates(["hash"]), "kinds")
 
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        some = paragraphs.select(F.col("hash").alias("of"), "text").join(wanted.withColumnRenamed("key", "wanted"), F.col("of") == F.col("wanted"), "left_semi").dropDuplicates(["of"])
-        return materialize(some, "texts")
-
-    return banded_links(kinds, texts_of, _cells)
+    held = shared_buckets(kinds)
+    wanted = held.select(F.col("hash").alias("wanted")).distinct()
+    texts = paragraphs.select(F.col("hash").alias("of"), "text").join(wanted, F.col("of") == F.col("wanted"), "left_semi").dropDuplicates(["of"])
+    return banded_links(held, materialize(texts, "texts"), _cells)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
