@@ -53,6 +53,7 @@ def extension(path: Column) -> Column:
     return F.regexp_extract(path, r"\.([^./]*)$", 1)
 
 
+# The extensions of each kind of file, below.
 def file_kind(path: Column) -> Column:
     """File-kind code by extension: sources by exact case, objects, archives and executables in any case."""
     ext, low = extension(path), F.lower(extension(path))

@@ -60,21 +60,18 @@ LOG = "array<struct<offset:bigint,remove:bigint,insert:bigint>>"
 
 
 def merged_log(edits: Column) -> Column:
-    """Edits in order -> the log, where an edit that touches what the last entry inserted is merged into that entry."""
-    floor = lambda a, b: F.greatest(a - b, F.lit(0))
+    """Edits in order -> the log. What an edit removes and what the last entry inserted are spans of one text; where they
+    touch, both become one entry that inserts their union, less what the edit removed and more what it inserted."""
 
     def step(log: Column, e: Column) -> Column:
         last = F.get(log, F.size(log) - 1)
-        touches = (F.size(log) > 0) & (e["offset"] + e["remove"] >= last["offset"]) & (e["offset"] <= last["offset"] + last["insert"])
-        before = floor(last["offset"], e["offset"])
-        after = floor(e["offset"] + e["remove"], last["offset"] + last["insert"])
-        new = F.struct(
-            (last["offset"] - before).cast("long").alias("offset"),
-            (last["remove"] + before + after).cast("long").alias("remove"),
-            (last["insert"] + e["insert"] + before + after - e["remove"]).cast("long").alias("insert"),
-        )
-        same = F.struct(e["offset"].cast("long").alias("offset"), e["remove"].cast("long").alias("remove"), e["insert"].cast("long").alias("insert"))
-        return F.when(touches, F.concat(F.slice(log, 1, F.greatest(F.size(log) - 1, F.lit(0))), F.array(new))).otherwise(F.concat(log, F.array(same)))
+        low = F.least(last["offset"], e["offset"])
+        union = F.greatest(last["offset"] + last["insert"], e["offset"] + e["remove"]) - low
+        one = F.struct(low.cast("long").alias("offset"), (last["remove"] + union - last["insert"]).cast("long").alias("remove"), (union - e["remove"] + e["insert"]).cast("long").alias("insert"))
+        two = F.struct(*[e[k].cast("long").alias(k) for k in ("offset", "remove", "insert")])
+        # spans touch if their union is no longer than both together
+        touch = (F.size(log) > 0) & (union <= last["insert"] + e["remove"])
+        return F.when(touch, F.concat(F.slice(log, 1, F.greatest(F.size(log) - 1, F.lit(0))), F.array(one))).otherwise(F.concat(log, F.array(two)))
 
     return F.aggregate(edits, F.array().cast(LOG), step)
 

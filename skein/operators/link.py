@@ -22,6 +22,20 @@ def requirements(section_occ: DataFrame, explicit: DataFrame) -> DataFrame:
     return both.groupBy("section_id", "name").agg(F.bool_and("weak").alias("weak"))
 
 
+def definition_sections(defs: DataFrame, section_occ: DataFrame, sections: DataFrame, files: DataFrame) -> DataFrame:
+    """(name, section_id, tier): the sections that a definition can be linked from.
+
+    defs: (name, occ_id, tier); section_occ: (section_id, occ_id), the occurrences that a section instantiates, in its own
+    file or in any it includes; sections: (section_id, file_id), the file being the unit that was compiled; files:
+    (file_id, allowed), whether the file may be linked in this step. A header's definition thus comes from the sections of
+    the units that include it, at whatever depth: the include closure is in section_occ, so none is walked here, and
+    headers that include each other do no harm.
+    """
+    open_ = sections.join(files.where("allowed").select("file_id").distinct(), "file_id", "left_semi").select("section_id")
+    held = section_occ.select("section_id", "occ_id").distinct().join(open_, "section_id", "left_semi")
+    return defs.join(held, "occ_id").select("name", "section_id", "tier").distinct()
+
+
 def roots(script_uses: DataFrame, forced_definitions: DataFrame, gc_sections: bool) -> DataFrame:
     """(name): main, global symbols that linker scripts use and, unless sections are collected, the definitions of all
     sections in forced files and in files of the command that are no archives."""

@@ -87,11 +87,11 @@ def p5(R):
 
 @query(
     "p6_range_predicates",
-    """SELECT file_id, seq, begin < end_ AND 10 < 200 AND greatest(begin, 10) < least(end_, 200) AS overlaps, begin <= 50 AND 50 < end_ AS contains, 10 <= begin AND end_ <= 200 AS included, end_ <= begin AS is_empty, end_ < begin AS is_void FROM {r_occ} WHERE begin < 400""",
+    """SELECT file_id, seq, begin < end_ AND 10 < 200 AND greatest(begin, 10) < least(end_, 200) AS overlaps, begin <= 50 AND 50 < end_ AS contains, 10 <= begin AND end_ <= 200 AS included, end_ <= begin AS is_empty, end_ < begin AS is_void FROM {r_occ}""",
 )
 def p6(R):
     b, e = c("begin"), c("end")
-    return occ(R).where("begin < 400").select(
+    return occ(R).select(
         "file_id", "seq", O.overlaps(b, e, lit(10), lit(200)).alias("overlaps"), O.contains(b, e, lit(50)).alias("contains"), O.includes(lit(10), lit(200), b, e).alias("included"), O.is_empty(b, e).alias("is_empty"), O.is_void(b, e).alias("is_void")
     )
 
@@ -255,12 +255,12 @@ def s11(R):
     return d.select("seq", "compiler", F.array_join("words", "|").alias("words"))
 
 
-@query("s12_make_stderr", """SELECT o_orderkey AS seq, concat('/mk/', o_custkey, '.mk') AS path, o_orderkey % 90 - 1 AS line, '*** missing separator.' AS message FROM {orders} WHERE o_orderkey % 4 IN (1, 2) AND o_custkey < 700""")
+@query("s12_make_stderr", """SELECT o_orderkey AS seq, concat('/mk/', o_custkey, '.mk') AS path, o_orderkey % 90 - 1 AS line, '*** missing separator.' AS message FROM {orders} WHERE o_orderkey % 4 IN (1, 2) AND o_custkey % 2 = 0""")
 def s12(R):
     m = c("o_orderkey") % 4
     place = F.concat(lit("/mk/"), "o_custkey", lit(".mk:"), c("o_orderkey") % 90, lit(": *** missing separator.  Stop."))
     line = F.when(m == 0, "make[1]: warning: jobserver unavailable").when(m == 1, place).when(m == 2, F.concat(lit("make[2]: "), place)).otherwise("make: *** No rule to make target 'x.o'")
-    files = R("customer").where("c_custkey < 700").select(F.concat(lit("/mk/"), "c_custkey", lit(".mk")).alias("path"))
+    files = R("customer").where("c_custkey % 2 = 0").select(F.concat(lit("/mk/"), "c_custkey", lit(".mk")).alias("path"))
     return readers.make_errors(R("orders").select(lit("s").alias("stream"), c("o_orderkey").alias("seq"), line.alias("line")), files).drop("stream")
 
 
@@ -527,10 +527,19 @@ def g9(R):
     return link.link_diagnostics(link.statuses(*linked_sections(R)), o)
 
 
-@query("g4_definition_sections", "SELECT name, tier, count(*) AS n FROM {r_def} GROUP BY ALL")
+@query(
+    "g4_definition_sections",
+    """SELECT DISTINCT p.p_partkey % 997 AS name, i.unit_id AS section_id, CAST(p.p_size % 3 AS INTEGER) AS tier FROM {part} p JOIN {r_instance} i ON i.occ_id = p.p_partkey JOIN {orders} o ON o.o_orderkey = i.unit_id JOIN {customer} f ON f.c_custkey = o.o_custkey
+    WHERE f.c_custkey = 6 OR ((f.c_nationkey % 3 > 0 OR f.c_nationkey % 5 = 0) AND NOT (f.c_nationkey % 9 = 3 AND f.c_nationkey % 5 = 0))""",
+)
 def g4(R):
-    """Candidate sections of each definition: the join of sections with what they hold, as g3 uses it."""
-    return R("r_def").groupBy("name", "tier").agg(F.count(lit(1)).alias("n"))
+    """Sections that each definition can be linked from: sections that hold it, in files that this step allows (p11, j11)."""
+    defs = R("part").select((c("p_partkey") % 997).alias("name"), c("p_partkey").alias("occ_id"), (c("p_size") % 3).alias("tier"))
+    held = R("r_instance").select(c("unit_id").alias("section_id"), "occ_id")
+    sections = R("orders").select(c("o_orderkey").alias("section_id"), c("o_custkey").alias("file_id"))
+    n = c("c_nationkey")
+    files = R("customer").select(c("c_custkey").alias("file_id"), K.allowed_in_step(c("c_custkey") == 6, n % 3 > 0, n % 5 == 0, n % 9).alias("allowed"))
+    return link.definition_sections(defs, held, sections, files)
 
 
 @query("g6_roots", "SELECT DISTINCT CAST(name AS VARCHAR) AS name FROM (SELECT p_name AS name FROM {part} WHERE p_size < 5 UNION ALL SELECT p_brand FROM {part} UNION ALL SELECT 'main')")
@@ -870,10 +879,10 @@ def s8(R):
     return lookups.snapshot_diff(old, new, ["stream", "name"], ["origin", "size"])
 
 
-@query("w2_multi_line_records", "SELECT s_suppkey AS seq, concat('.s', s_suppkey) AS name, concat('RAM', s_suppkey % 3) AS runtime_region, concat('ROM', s_suppkey % 2) AS load_region FROM {supplier}")
+@query("w2_multi_line_records", "SELECT s_suppkey AS seq, concat('.s', s_suppkey) AS name, concat('SRAM', s_suppkey % 3) AS runtime_region, concat('iROM', s_suppkey % 2) AS load_region FROM {supplier}")
 def w2(R):
     k = c("s_suppkey")
-    three = F.posexplode(F.array(F.concat(lit("S1 .s"), k), F.concat(lit("RAM"), k % 3), F.concat(lit("ROM"), k % 2))).alias("i", "line")
+    three = F.posexplode(F.array(F.concat(lit("S1 .s"), k), F.concat(lit("SRAM"), k % 3), F.concat(lit("iROM"), k % 2))).alias("i", "line")
     d = readers.event_statements(R("supplier").select(lit("s").alias("stream"), k, three).select("stream", (k * 10 + c("i")).alias("seq"), "line"))
     return readers.memory_sections(d).select(F.regexp_extract("name", "([0-9]+)$", 1).cast("long").alias("seq"), "name", "runtime_region", "load_region")
 
@@ -893,8 +902,9 @@ def s15(R):
 
     units = R("customer").select(c("c_custkey").alias("unit_id"), c("c_mktsegment").alias("flags"))
     path = shared_folder(units.sparkSession, "cache")
+    readers.write_cache(units.withColumn("flags", lit("old")).where("unit_id % 3 = 0"), path)
     readers.write_cache(units, path)
-    return units.sparkSession.read.parquet(path).select("unit_id", "flags")
+    return readers.cached_results(units.sparkSession, path).select("unit_id", "flags")
 
 
 @query("s18_net_changes", "SELECT unit_id, CASE WHEN n > 0 THEN 'add' ELSE 'remove' END AS op, abs(n) AS n FROM (SELECT unit_id, CAST(sum(delta) AS BIGINT) AS n FROM {r_change} GROUP BY 1) WHERE n <> 0")
@@ -942,11 +952,11 @@ def t2(R):
     return O.clamped_offset_of(O.line_table(R("documents"), "doc_id"), p)
 
 
-@query("t5_revert_ranges", """SELECT file_id, seq, CASE WHEN 5 < end_ AND begin < 10 THEN 1 WHEN 5 < end_ THEN begin - 2 ELSE begin END AS begin, CASE WHEN 5 < end_ AND begin < 10 THEN 0 WHEN 5 < end_ THEN end_ - 2 ELSE end_ END AS "end" FROM {r_occ} WHERE begin < 200""")
+@query("t5_revert_ranges", """SELECT file_id, seq, CASE WHEN 5 < end_ AND begin < 10 THEN 1 WHEN 5 < end_ THEN begin - 2 ELSE begin END AS begin, CASE WHEN 5 < end_ AND begin < 10 THEN 0 WHEN 5 < end_ THEN end_ - 2 ELSE end_ END AS "end" FROM {r_occ}""")
 def t5(R):
     log = F.array(F.struct(lit(5).cast("long").alias("offset"), lit(3).cast("long").alias("remove"), lit(5).cast("long").alias("insert")))
     r = O.revert_range(log, c("begin"), c("end"))
-    return occ(R).where("begin < 200").select("file_id", "seq", r.alias("r")).select("file_id", "seq", "r.begin", "r.end")
+    return occ(R).select("file_id", "seq", r.alias("r")).select("file_id", "seq", "r.begin", "r.end")
 
 
 @query("g5_archive_passes")

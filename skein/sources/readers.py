@@ -6,6 +6,8 @@ independent, so windows are partitioned by stream.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,25 @@ def sticky(lines: DataFrame, header: Column, name: str) -> DataFrame:
     return lines.withColumn(name, F.last(header, ignorenulls=True).over(_before()))
 
 
+def _uneaten(lines: DataFrame, takes: Column) -> DataFrame:
+    """lines without those that a statement before them takes; `takes` is how many a line takes if it is a statement.
+
+    A line that is taken itself takes nothing, so what stands where depends on all lines before, up to two in a row that
+    can't take any: behind them a run starts anew. A run's digits are cut into statements with their lines by a pattern.
+    """
+    w = Window.partitionBy("stream").orderBy("seq")
+    fresh = (F.coalesce(F.lag("takes", 1).over(w), F.lit(0)) == 0) & (F.coalesce(F.lag("takes", 2).over(w), F.lit(0)) == 0)
+    d = lines.withColumn("takes", takes).withColumn("fresh", fresh)
+    d = d.withColumn("run", F.count_if("fresh").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    digits = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "takes"))), lambda x: x["takes"].cast("string")), "")
+    # runs of one line, which nearly all are, need no look
+    runs = d.where((F.col("takes") > 0) | ~F.col("fresh")).groupBy(F.col("stream").alias("of"), F.col("run").alias("in_run")).agg(digits.alias("digits"), F.array_sort(F.collect_list("seq")).alias("seqs"))
+    statements = F.regexp_extract_all("digits", F.lit("0|1[012]?|2[012]{0,2}"), F.lit(0))
+    marks = F.split(F.array_join(F.transform(statements, lambda x: F.rpad(F.lit("s"), F.length(x), "t")), ""), "")
+    taken = runs.select("of", F.explode(F.arrays_zip(F.col("seqs").alias("at"), marks.alias("mark"))).alias("x")).where("x.mark = 't'").select("of", F.col("x.at").alias("at"))
+    return d.join(taken, F.col("stream").eqNullSafe(F.col("of")) & (F.col("seq") == F.col("at")), "left_anti").drop("takes", "fresh", "run")
+
+
 def event_statements(lines: DataFrame, with_raw: bool = False) -> DataFrame:
     """The line protocol of analysis back ends as (stream, seq, code, file, offset, line, col, name, extra).
 
@@ -35,14 +56,8 @@ def event_statements(lines: DataFrame, with_raw: bool = False) -> DataFrame:
     """
     w = Window.partitionBy("stream").orderBy("seq")
     code = F.substring("line", 1, 1)
-    d = lines.withColumns({"next1": F.lead("line", 1).over(w), "next2": F.lead("line", 2).over(w), "p1": F.lag("line", 1).over(w), "p2": F.lag("line", 2).over(w)})
-    # a line is eaten if a statement before it takes it; statements that are eaten themselves take nothing
-    takes = lambda x: F.when(F.substring(x, 1, 1) == "i", 1).when(F.substring(x, 1, 1) == "S", 2).otherwise(0)
-    lag3 = F.lag("line", 3).over(w)
-    d = d.withColumn("p3", lag3)
-    eaten1 = F.coalesce(takes(F.col("p1")) >= 1, F.lit(False))
-    eaten2 = F.coalesce(takes(F.col("p2")) >= 2, F.lit(False))
-    d = d.where(~eaten1 & ~eaten2 & (F.length("line") > 0)).drop("p1", "p2", "p3")
+    d = lines.withColumns({"next1": F.lead("line", 1).over(w), "next2": F.lead("line", 2).over(w)})
+    d = _uneaten(d, F.when(code == "i", 1).when(code == "S", 2).otherwise(0)).where(F.length("line") > 0)
     d = sticky(d, F.when(code == "@", F.substring("line", 2, 1_000_000)), "file")
     loc = F.regexp_extract("line", r"^.([0-9]*(?::[0-9]+)?) ", 1)
     offset = F.when(loc.rlike(r"^[0-9]+$"), loc.cast("long"))
@@ -200,25 +215,28 @@ def link_command_items(commands: DataFrame) -> DataFrame:
         .when(~word.startswith("-"), "file")
     )
     value = (
-        F.when(item == "defsym", F.regexp_extract(F.when(word == "--defsym", F.col("next")).otherwise(F.substring(word, 10, 1000)), r"^([^=]*)", 1))
-        .when(item.isin("path", "library"), F.when(F.length(word) == 2, F.col("next")).otherwise(F.substring(word, 3, 1000)))
+        F.when(item == "defsym", F.regexp_extract(F.when(word == "--defsym", F.col("next")).otherwise(F.substring(word, F.lit(10), F.length(word))), r"^([^=]*)", 1))
+        .when(item.isin("path", "library"), F.when(F.length(word) == 2, F.col("next")).otherwise(F.substring(word, F.lit(3), F.length(word))))
         .when(item == "file", word)
     )
     return d.withColumns({"item": item, "value": value}).where("item is not null").select("stream", "pos", "item", "value")
 
 
-def write_cache(results: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Analysis results as a snapshot partitioned by unit bucket; only the partitions in `results` are replaced.
+def write_cache(results: DataFrame, path: str) -> None:
+    """Analysis results appended to a cache as its newest generation; those of other units stay as they are.
 
-    results needs unit_id. Buckets, not units, are folders, so their number doesn't grow with the code.
+    results needs unit_id. Buckets, not units, are folders, so their number doesn't grow with the code; writers that run
+    at once write generations of their own.
     """
-    spark = results.sparkSession
-    old = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        results.withColumn("bucket", F.pmod("unit_id", F.lit(64)).cast("int")).write.mode(mode).partitionBy("bucket").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+    stamped = results.withColumns({"generation": F.lit(time.time_ns()), "bucket": F.pmod("unit_id", F.lit(64)).cast("int")})
+    stamped.write.mode("append").partitionBy("bucket", "generation").parquet(path)
+
+
+def cached_results(spark: SparkSession, path: str) -> DataFrame:
+    """Each unit's results of the newest generation that has it."""
+    every = spark.read.parquet(path)
+    newest = every.groupBy(F.col("unit_id").alias("of")).agg(F.max("generation").alias("newest"))
+    return every.join(newest, F.col("unit_id").eqNullSafe(F.col("of")) & (F.col("generation") == F.col("newest")), "left_semi").drop("generation", "bucket")
 
 
 def read_cache(cached: DataFrame, signatures: DataFrame, flags: DataFrame) -> DataFrame:

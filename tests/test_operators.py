@@ -191,11 +191,12 @@ def test_tool_output_readers(spark, tmp_path):
     assert [(r.seq, r.line) for r in readers.text_lines(spark, str(path)).orderBy("seq").collect()] == [(0, "a"), (1, "b"), (2, "")]
 
 
-def test_cache_replaces_only_its_buckets(spark, tmp_path):
+def test_cache_replaces_only_its_units(spark, tmp_path):
     path = str(tmp_path / "cache")
     readers.write_cache(spark.createDataFrame([(1, "a"), (2, "b")], "unit_id long, v string"), path)
-    readers.write_cache(spark.createDataFrame([(2, "c")], "unit_id long, v string"), path)
-    assert {(r.unit_id, r.v) for r in spark.read.parquet(path).collect()} == {(1, "a"), (2, "c")}
+    readers.write_cache(spark.createDataFrame([(2, "c"), (66, "d"), (65, "e")], "unit_id long, v string"), path)
+    readers.write_cache(spark.createDataFrame([(66, "f")], "unit_id long, v string"), path)
+    assert {(r.unit_id, r.v) for r in readers.cached_results(spark, path).collect()} == {(1, "a"), (2, "c"), (65, "e"), (66, "f")}
 
 
 def test_missing_header_and_includers(spark):
@@ -230,3 +231,35 @@ def test_files_come_and_go(spark):
     inc = spark.createDataFrame([(1, 2)], "includer long, included long")
     after, again = lookups.remove_files(files, files.where("file_id = 2"), inc)
     assert {r.file_id: r["mode"] for r in after.collect()} == {1: 2, 2: 0} and {r.file_id for r in again.collect()} == {1, 2}
+
+
+def taken(lines):
+    """Statements of the line protocol by a plain loop."""
+    out, i = [], 0
+    while i < len(lines):
+        out.append(i)
+        i += 1 + {"i": 1, "S": 2}.get(lines[i][:1], 0)
+    return [k for k in out if lines[k]]
+
+
+def test_lines_that_are_taken_take_nothing(spark):
+    rng = random.Random(7)
+    streams = {"a": ["S1 .data", "SRAM", "FLASH", "u5 main", "i12 foo.h", "include/sub", "u40 bar"], "b": ["i1 x"], "c": ["S1 x", "i"], "d": [""]}
+    streams |= {f"r{n}": [rng.choice(["S1 .t", "i1 h", "u1 x", "", "@f", "SRAM", "inc"]) for _ in range(rng.randrange(1, 60))] for n in range(30)}
+    rows = [(s, i, t) for s, lines in streams.items() for i, t in enumerate(lines)]
+    got = readers.event_statements(spark.createDataFrame(rows, "stream string, seq long, line string")).select("stream", "seq").collect()
+    assert sorted(map(tuple, got)) == sorted((s, i) for s, lines in streams.items() for i in taken(lines))
+
+
+def test_definition_sections(spark):
+    defs = spark.createDataFrame([("f", 1, 0), ("g", 2, 2)], "name string, occ_id int, tier int")
+    held = spark.createDataFrame([(10, 1), (10, 1), (11, 1), (12, 2)], "section_id int, occ_id int")
+    sections = spark.createDataFrame([(10, 100), (11, 101), (12, 102)], "section_id int, file_id int")
+    files = spark.createDataFrame([(100, True), (101, False), (102, True)], "file_id int, allowed boolean")
+    assert sorted(map(tuple, link.definition_sections(defs, held, sections, files).collect())) == [("f", 10, 0), ("g", 12, 2)]
+
+
+def test_long_values_of_link_commands(spark):
+    word = "-L" + "d" * 5000
+    got = readers.link_command_items(spark.createDataFrame([("s", 0, word), ("s", 1, "--defsym=" + "x" * 3000 + "=1")], "stream string, pos int, word string"))
+    assert {r.pos: len(r.value) for r in got.collect()} == {0: 5000, 1: 3000}
