@@ -380,7 +380,7 @@ def similar_components(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     links = materialize(star_links(held.where(F.col("place") < FIRST), texts, 0), "links")
     found = materialize(components(links), "components")
     for last in (False, True):
-        more = banded_links(held, texts, _text_cells, found) if last else star_links(held, texts, 1, found)
+        more = banded_links(held, texts, _text_cells, found, 1) if last else star_links(held, texts, 1, found)
         stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         found = materialize(components(stars.union(more)), "components")
     drop_shared(held, texts, links)

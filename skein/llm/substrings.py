@@ -203,9 +203,10 @@ def labelled(held: DataFrame, joined: DataFrame | None) -> DataFrame:
     return held.join(known, F.col("hash") == F.col("known"), "left").withColumn("group", F.coalesce("component", "hash")).drop("known", "component")
 
 
-def banded_links(held: DataFrame, texts: DataFrame, cells: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], joined: DataFrame | None = None) -> DataFrame:
+def banded_links(held: DataFrame, texts: DataFrame, cells: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], joined: DataFrame | None = None, shares: int = 8) -> DataFrame:
     """Links (a, b) between hashes of similar texts, as `cells` finds them among those that share a bucket of held, in all
-    pairs that joined doesn't connect already.
+    pairs that joined doesn't connect already. A bucket is split to `shares` blocks, and to more where a block would hold
+    over MOST texts; each of its texts goes to about as many cells.
 
     texts: (of, text) by key. The members of a bucket that are of its first member's component are its base, which needs
     no comparison within itself; the others, the strangers, are compared with the base and with each other, block by
@@ -217,7 +218,7 @@ def banded_links(held: DataFrame, texts: DataFrame, cells: Callable[[Iterator[pa
     rows = materialize(rows.join(buckets, F.col("bucket") == F.col("of_bucket")).select("bucket", "hash", "key", "size", "group", (F.col("group") != F.col("base")).alias("stranger")), "members")
     sizes = rows.groupBy("bucket", "stranger").agg(F.count(F.lit(1)).alias("number"), F.sum("size").alias("words"))
     # a block is bounded in texts and in words
-    few = F.least(F.lit(MOST), F.greatest(F.lit(BLOCK), F.col("number") / 8))
+    few = F.least(F.lit(MOST), F.greatest(F.lit(BLOCK), F.col("number") / shares))
     blocks = F.greatest(F.ceil(F.col("number") / few), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int")
     of = lambda stranger: F.max(F.when(F.col("stranger") == stranger, blocks))
     sizes = sizes.groupBy(F.col("bucket").alias("of_bucket")).agg(of(True).alias("sb"), of(False).alias("bb"))
