@@ -31,7 +31,7 @@ RELATIONS: dict[str, str | tuple[str, str]] = {
         UNION SELECT c_custkey AS includer, (c_custkey * 13 + 1) % n AS included FROM {customer}, (SELECT count(*) AS n FROM {customer}) z""",
     "r_def": """SELECT o_orderkey AS section_id, o_orderkey % n AS name, CAST(CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END AS INTEGER) AS tier
         FROM {orders}, (SELECT count(*) AS n FROM {part}) x WHERE o_orderkey % 7 < 2 AND (o_orderkey % n) % 9 <> 4""",
-    "r_req": """SELECT l_orderkey AS section_id, l_partkey AS name, bool_and(l_returnflag = 'R') AS weak FROM {lineitem} WHERE l_linenumber <= 2 GROUP BY l_orderkey, l_partkey""",
+    "r_req": """SELECT l_orderkey AS section_id, l_partkey AS name, bool_and(l_returnflag = 'R') AS weak FROM {lineitem} GROUP BY l_orderkey, l_partkey""",
     "r_root": "SELECT p_partkey AS name FROM {part} WHERE p_partkey IN (0, 10, 50)",
     "r_diag": """SELECT event_id, user_id AS unit_id, CAST(CASE event_type WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 ELSE 0 END AS INTEGER) AS severity, event_id AS seq, event_id % 5 = 0 AS is_link, props AS message FROM {events}""",
     "r_edit": "SELECT user_id AS file_id, event_id AS seq, event_id % 1000 AS offset_, event_id % 5 AS remove_, event_id % 7 AS insert_ FROM {events}",

@@ -263,3 +263,31 @@ def test_long_values_of_link_commands(spark):
     word = "-L" + "d" * 5000
     got = readers.link_command_items(spark.createDataFrame([("s", 0, word), ("s", 1, "--defsym=" + "x" * 3000 + "=1")], "stream string, pos int, word string"))
     assert {r.pos: len(r.value) for r in got.collect()} == {0: 5000, 1: 3000}
+
+
+def test_closure_of_all_files_contracts_cycles(spark):
+    import random
+
+    from skein.operators.closure import cycle_classes, reachable, reachable_from_all
+
+    rnd = random.Random(3)
+    pairs = {(rnd.randrange(60), rnd.randrange(60)) for _ in range(70)} | {(100 + i, 100 + (i + 1) % 9) for i in range(9)} | {(7, 100), (105, 200), (5, 5)}
+    edges = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    seeds = spark.createDataFrame([(x, x) for x in [*range(60), 103, 200, 999]], "root long, node long")
+
+    def walk(x):
+        seen, todo = {x}, [x]
+        while todo:
+            y = todo.pop()
+            for a, b in pairs:
+                if a == y and b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        return seen
+
+    want = sorted((x, y) for x in [*range(60), 103, 200, 999] for y in walk(x))
+    assert sorted(map(tuple, reachable_from_all(edges, seeds).collect())) == want
+    assert sorted(map(tuple, reachable(edges, seeds).collect())) == want
+    for node, cls in map(tuple, cycle_classes(edges, 2).collect()):  # true after any number of rounds
+        assert cls in walk(node) and node in walk(cls)
+    assert reachable_from_all(edges.limit(0), seeds.limit(0)).count() == 0
