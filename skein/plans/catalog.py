@@ -232,9 +232,9 @@ def s1(R):
 REACH = "WITH RECURSIVE r(root, node) AS (SELECT {seed} UNION SELECT r.root, {to} FROM r JOIN {{r_include}} e ON r.node = {frm}) "
 
 
-@query("s4_reload_set", "WITH RECURSIVE r(node) AS (SELECT c_custkey FROM {customer} WHERE c_custkey % 500 = 5 UNION SELECT e.includer FROM r JOIN {r_include} e ON e.included = r.node) SELECT node AS file_id FROM r")
+@query("s4_reload_set", "WITH RECURSIVE r(node) AS (SELECT CAST(n_nationkey * 5 AS BIGINT) FROM {nation} UNION SELECT e.includer FROM r JOIN {r_include} e ON e.included = r.node) SELECT node AS file_id FROM r")
 def s4(R):
-    return closure.reload_set(R("r_include"), R("customer").where("c_custkey % 500 = 5").select(c("c_custkey").alias("file_id")))
+    return closure.reload_set(R("r_include"), R("nation").select((c("n_nationkey") * 5).cast("long").alias("file_id")))
 
 
 @query(
@@ -702,13 +702,14 @@ def st7(R):
 
 @query(
     "c1_completions",
-    """WITH RECURSIVE q AS (SELECT c_custkey AS request_id, c_custkey AS file_id, c_custkey % 700 + 3 AS pos, substring('ANR', CAST(c_custkey % 3 AS INTEGER) + 1, 1) AS prefix FROM {customer} WHERE c_custkey % 500 = 7),
+    """WITH RECURSIVE q AS (SELECT k AS request_id, k * 5 AS file_id, k * 29 % 700 + 3 AS pos, substring('ANR', CAST(k % 3 AS INTEGER) + 1, 1) AS prefix FROM (SELECT CAST(n_nationkey AS BIGINT) AS k FROM {nation})),
     r(root, node) AS (SELECT file_id, file_id FROM q UNION SELECT r.root, e.included FROM r JOIN {r_include} e ON e.includer = r.node)
     SELECT DISTINCT q.request_id, o.entity_id, o.name, q.pos - 1 AS insert_at FROM q JOIN r ON r.root = q.file_id JOIN (SELECT l_orderkey % 1500 AS file_id, l_partkey % 600 AS "end", l_partkey AS entity_id, concat(upper(l_returnflag), l_partkey) AS name, l_linenumber AS kind, l_suppkey % 26 AS ek FROM {lineitem}) o ON o.file_id = r.node
     WHERE o.kind <= 4 AND o.ek NOT IN (12, 15, 17, 18, 21) AND (CASE WHEN r.node = q.file_id THEN q.pos ELSE 4294967295 END) > o."end" AND starts_with(o.name, q.prefix)""",
 )
 def c1(R):
-    q = R("customer").where("c_custkey % 500 = 7").select(c("c_custkey").alias("request_id"), c("c_custkey").alias("file_id"), (c("c_custkey") % 700 + 3).alias("pos"), F.concat(lit("  x = "), F.substring(lit("ANR"), (c("c_custkey") % 3 + 1).cast("int"), lit(1))).alias("context"))
+    k = c("n_nationkey").cast("long")
+    q = R("nation").select(k.alias("request_id"), (k * 5).alias("file_id"), (k * 29 % 700 + 3).alias("pos"), F.concat(lit("  x = "), F.substring(lit("ANR"), (k % 3 + 1).cast("int"), lit(1))).alias("context"))
     o = R("lineitem").select((c("l_orderkey") % 1500).alias("file_id"), (c("l_partkey") % 600).alias("end"), c("l_partkey").alias("entity_id"), F.concat(F.upper("l_returnflag"), "l_partkey").alias("name"), c("l_linenumber").alias("kind"), (c("l_suppkey") % 26).alias("entity_kind"), lit(True).alias("instantiated"))
     return completion.completions(q, o, R("r_include"))
 
@@ -849,10 +850,10 @@ def st6(R):
     return lookups.add_files(f, f.where("mode = 1"), R("r_missing"))[1]
 
 
-@query("s3_remove_file", "WITH RECURSIVE r(node) AS (SELECT c_custkey FROM {customer} WHERE c_custkey % 700 = 9 UNION SELECT e.includer FROM r JOIN {r_include} e ON e.included = r.node) SELECT node AS file_id FROM r")
+@query("s3_remove_file", "WITH RECURSIVE r(node) AS (SELECT CAST(r_regionkey * 7 AS BIGINT) FROM {region} UNION SELECT e.includer FROM r JOIN {r_include} e ON e.included = r.node) SELECT node AS file_id FROM r")
 def s3(R):
     files = R("customer").select(c("c_custkey").alias("file_id"), c("c_name").alias("path"), lit(1).alias("mode"))
-    return lookups.remove_files(files, files.where("file_id % 700 = 9"), R("r_include"))[1]
+    return lookups.remove_files(files, files.join(R("region").select((c("r_regionkey") * 7).alias("file_id")), "file_id", "left_semi"), R("r_include"))[1]
 
 
 @query("s6_asm_units", "SELECT stream, CAST(stream AS INTEGER) % 4 AS exit_code, CAST(stream AS INTEGER) % 4 < 2 AS counts, n FROM (SELECT stream, count(*) AS n FROM {r_event} GROUP BY 1)")

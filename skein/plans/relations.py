@@ -1,7 +1,8 @@
 """Code relations derived from the driver's tables, so that both engines see the same input.
 
 Each relation has one SQL text for Spark and DuckDB where the dialects agree, else one for each. The mapping is a test
-scaffold: the tables hold no code facts.
+scaffold: the tables hold no code facts. r_def's conditions make names that nothing defines: two orders of seven define
+one, and none whose name leaves 4 by 9. r_root are the names a link starts from.
 """
 
 from __future__ import annotations
