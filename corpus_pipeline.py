@@ -6,7 +6,7 @@ return the columns of documents.
 1. quality_classifier: documents that the classifier rejects go. It learns from the labels beside the documents, never
    from the held-out fold.
 2. simhash_near_dedup: of each group of documents linked by a five-word Jaccard similarity of 0.8 or more the one with
-   the smallest id stays.
+   the smallest id stays. Candidates come from SimHash's covering search, and from MinHash bands beyond its radius.
 3. benchmark_decontamination: documents that hold a benchmark passage go.
 4. secret_scan: secrets are cut out of the texts; live-looking and copied ones get different tags.
 5. sentencepiece_encode: texts become piece ids.

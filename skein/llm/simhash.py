@@ -6,8 +6,9 @@ most RADIUS differing places span less than the whole space, so some v is orthog
 none of the differing places: every pair within the radius collides there for certain (Pagh, "CoveringLSH").
 
 keep_one, the pipeline's stage, has a rule of its own: texts link from a Jaccard similarity of SIMILAR on five-word
-shingles. Such pairs differ in up to a dozen bits and more, which no covering family of bearable size reaches, so its
-candidates come from MinHash bands and each is measured.
+shingles. It fingerprints the sets of these shingles and takes what the same covering search connects as candidates, each
+of which is measured. Texts at SIMILAR differ in up to a dozen bits and more, which no covering family of bearable size
+reaches, so MinHash bands add the candidates beyond RADIUS.
 """
 
 from __future__ import annotations
@@ -232,24 +233,35 @@ def text_bands(shingles: np.ndarray) -> np.ndarray:
     return key
 
 
+def text_print(shingles: np.ndarray) -> int:
+    """The SimHash of a set of shingles, as a signed integer: a bit is 1 if set in over half of them."""
+    counts = np.zeros(BITS, np.int64)
+    for i in range(0, len(shingles), 8192):
+        counts += np.unpackbits(shingles[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(shingles)).view(np.int64)[0])
+
+
 def _hash_of(words: bytes) -> int:
     x = xxhash.xxh3_64_intdigest(words, 1)
     return x - (1 << 64) if x >> 63 else x
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, text) -> (id, hash of the words, their number, bands); texts without bands are too short to be like any
-    other."""
+    """Rows (id, text) -> (id, hash of the words, their number, bands, fingerprint); texts without these are too short to
+    be like any other."""
     for whole in batches:
         for i in range(0, whole.num_rows, 256):
             b = whole.slice(i, 256)
-            hashes, sizes, bands = [], [], []
+            hashes, sizes, bands, prints = [], [], [], []
             for x in strings(b.column(1)):
                 words = words_of(x)
                 hashes.append(_hash_of(b" ".join(words)))
                 sizes.append(len(words))
-                bands.append(text_bands(text_shingles(words)).view(np.int64) if len(words) >= SHINGLE else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "hash", "size", "bands"])
+                own = text_shingles(words) if len(words) >= SHINGLE else None
+                bands.append(None if own is None else text_bands(own).view(np.int64))
+                prints.append(None if own is None else text_print(own))
+            columns = [b.column(0), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(prints, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "hash", "size", "bands", "fp"])
     trim()
 
 
@@ -366,24 +378,41 @@ def star_links(held: DataFrame, texts: DataFrame, seed: int, joined: DataFrame |
     return rows.repartition(n, "cell").sortWithinPartitions("cell", "role").mapInArrow(_star_cells, "a long, b long")
 
 
+def print_buckets(kinds: DataFrame) -> DataFrame:
+    """(bucket, place, hash, key, size) of the texts that links of at most RADIUS differing bits connect with another, a
+    component being a bucket; kinds: (hash, key, size, fp), a hash once."""
+    prints = materialize(kinds.select("fp", F.col("fp").alias("node")).distinct(), "prints")
+    found = materialize(components(hamming_links(prints)), "components").withColumnRenamed("node", "of_fp")
+    rows = kinds.select("hash", "key", "size", "fp").join(found.hint("merge"), F.col("fp") == F.col("of_fp"), "left")
+    return shared_buckets(rows.select("hash", "key", "size", F.array(F.coalesce("component", "fp")).alias("bands")))
+
+
 def similar_components(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     """(node, component) of the texts (id, text) in docs that are like another, nodes being the hashes in sketches.
 
-    First the members of each bucket are measured against one of them, in two rounds; that connects large groups in linear
-    work. What is left in a bucket unconnected is compared in all pairs, so no link between two components is missed.
+    Candidates are the texts that the covering search connects and, for those that differ in more than RADIUS bits, the
+    texts of a MinHash bucket. First the members of each bucket are measured against one of them, in three rounds, those
+    of the covering search before any of MinHash; that connects large groups in linear work. What is left in a bucket
+    unconnected is compared in all pairs, so no link between two components is missed.
     """
-    kinds = sketches.where("bands is not null").groupBy("hash").agg(F.min("id").alias("key"), F.min("size").alias("size"), F.min("bands").alias("bands"))
-    held = shared_buckets(kinds)
+    firsts = [F.min(c).alias(c) for c in ("size", "bands", "fp")]
+    kinds = sketches.where("bands is not null").groupBy("hash").agg(F.min("id").alias("key"), *firsts)
+    near, banded = print_buckets(kinds), shared_buckets(kinds)
+    held = near.unionByName(banded)
     wanted = held.select(F.col("key").alias("wanted")).distinct()
     texts = docs.select(F.col("id").alias("of"), F.coalesce("text", F.lit("")).alias("text")).join(wanted.hint("merge"), F.col("of") == F.col("wanted"), "left_semi")
     texts = materialize(texts, "texts")
-    links = materialize(star_links(held.where(F.col("place") < FIRST), texts, 0), "links")
+    links = materialize(star_links(near, texts, 0), "links")
     found = materialize(components(links), "components")
-    for last in (False, True):
-        more = banded_links(held, texts, _text_cells, found, 1) if last else star_links(held, texts, 1, found)
+
+    def also(more: DataFrame) -> DataFrame:
         stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        found = materialize(components(stars.union(more)), "components")
-    drop_shared(held, texts, links)
+        return materialize(components(stars.union(more)), "components")
+
+    found = also(star_links(banded.where(F.col("place") < FIRST), texts, 0, found))
+    found = also(star_links(held, texts, 1, found))
+    found = also(banded_links(held, texts, _text_cells, found, 1))
+    drop_shared(near, banded, texts, links)
     return found
 
 
@@ -397,7 +426,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     nothing. Columns are those of docs, which may have any other names but __hash. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    sketches = materialize(rows.mapInArrow(_sketches, "id long, hash long, size int, bands array<long>"), "sketches")
+    sketches = materialize(rows.mapInArrow(_sketches, "id long, hash long, size int, bands array<long>, fp long"), "sketches")
     found = similar_components(rows, sketches)
     # copies of any number are one entry here
     classes = sketches.groupBy("hash").agg(F.min("id").alias("low"))
