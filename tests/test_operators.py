@@ -291,3 +291,16 @@ def test_closure_of_all_files_contracts_cycles(spark):
     for node, cls in map(tuple, cycle_classes(edges, 2).collect()):  # true after any number of rounds
         assert cls in walk(node) and node in walk(cls)
     assert reachable_from_all(edges.limit(0), seeds.limit(0)).count() == 0
+
+
+def test_closure_of_all_files_takes_little_room(spark, tmp_path):
+    """Files that all reach each other: their pairs are as many as their square, but come in an order that files hold well."""
+    from skein.operators.closure import reachable_from_all
+
+    n = 1500
+    edges = spark.createDataFrame([(0, i) for i in range(1, n)] + [(i, 0) for i in range(1, n)], "src long, dst long")
+    seeds = spark.createDataFrame([(i, i) for i in range(n)] + [(n, 3), (n, 4), (n, n + 1)], "root long, node long")
+    reachable_from_all(edges, seeds).write.parquet(f"{tmp_path}/pairs")
+    got = spark.read.parquet(f"{tmp_path}/pairs")
+    assert got.count() == got.distinct().count() == n * n + n + 1
+    assert sum(p.stat().st_size for p in tmp_path.glob("pairs/*.parquet")) < 0.5 * n * n
