@@ -28,6 +28,28 @@ def includes(b1: Column, e1: Column, b2: Column, e2: Column) -> Column:
     return (b1 <= b2) & (e2 <= e1)
 
 
+def word_chunks(files: DataFrame, id_col: str = "file_id", text_col: str = "text") -> DataFrame:
+    """(file_id, seq, begin, end, text): a file's words, which end at a space or a line's end, in runs of about the square
+    root of their number; seq and begin are those of the first word, text has the words with a space between them.
+
+    Made within a file's row: no window, no exchange, and each running sum is as long as a root.
+    """
+    f = files.select(F.col(id_col).alias("file_id"), F.split(text_col, "[ \n]", -1).alias("words"))
+    f = f.withColumn("step", F.ceil(F.sqrt(F.size("words"))).cast("int"))
+    f = f.withColumn("runs", F.transform(F.sequence(F.lit(1), F.size("words"), F.col("step")), lambda i: F.array_join(F.slice("words", i, F.col("step")), " ")))
+    at = F.aggregate("runs", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.octet_length(x) + 1)))
+    f = f.select("file_id", "step", "runs", at.alias("at")).select("file_id", "step", F.posexplode(F.arrays_zip("runs", "at")).alias("i", "x")).where("x.runs is not null")
+    return f.select("file_id", (F.col("i") * F.col("step")).alias("seq"), F.col("x.at").alias("begin"), (F.col("x.at") + F.octet_length("x.runs")).alias("end"), F.col("x.runs").alias("text"))
+
+
+def chunk_words(chunks: DataFrame) -> DataFrame:
+    """(file_id, seq, word, n, begin): the words of chunks, n bytes each; file_id may be any key."""
+    f = chunks.select("file_id", "seq", "begin", F.split("text", " ", -1).alias("words"))
+    at = F.aggregate("words", F.array("begin"), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.octet_length(x) + 1)))
+    f = f.select("file_id", "seq", F.posexplode(F.arrays_zip("words", at.alias("at"))).alias("i", "x")).where("x.words is not null")
+    return f.select("file_id", (F.col("seq") + F.col("i")).alias("seq"), F.col("x.words").alias("word"), F.octet_length("x.words").alias("n"), F.col("x.at").alias("begin"))
+
+
 def line_table(files: DataFrame, id_col: str = "file_id", text_col: str = "text") -> DataFrame:
     """(file_id, line, begin, len): zero-based lines with byte offsets; len counts the line end, the last line's too.
 

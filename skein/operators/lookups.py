@@ -48,16 +48,34 @@ def occurrence_at(occurrences: DataFrame, probes: DataFrame, begin_tol: int = 0,
 
     A click reaches end_tol bytes to the left, so that the end of a name still hits it, and begin_tol to the right.
     """
-    low = F.greatest(F.col("offset") - end_tol, F.lit(0))
-    high = F.col("offset") + begin_tol + 1
-    p = _bucketed(probes.withColumns({"low": low, "high": high}), F.col("low"), F.col("high"), width)
+    p = _bucketed(_windows(probes, begin_tol, end_tol), F.col("low"), F.col("high"), width)
     o = _bucketed(occurrences.where(F.col("end") > F.col("begin")), F.col("begin"), F.col("end"), width)
-    hit = p.join(o, ["file_id", "bucket"]).where((F.col("begin") < F.col("high")) & (F.col("low") < F.col("end"))).drop("bucket")
+    return smallest(p.join(o, ["file_id", "bucket"]).drop("bucket"))
+
+
+def _windows(probes: DataFrame, begin_tol: int, end_tol: int) -> DataFrame:
+    return probes.withColumns({"low": F.greatest(F.col("offset") - end_tol, F.lit(0)), "high": F.col("offset") + begin_tol + 1})
+
+
+def smallest(near: DataFrame) -> DataFrame:
+    """For probes with an occurrence each (probe_id, file_id, offset, low, high, begin, end, kind, entity_id): the smallest
+    that overlaps the click window, as in occurrence_at."""
+    hit = near.where((F.col("end") > F.col("begin")) & (F.col("begin") < F.col("high")) & (F.col("low") < F.col("end")))
     size = F.col("end") - F.col("begin")
     w = Window.partitionBy("probe_id").orderBy(size, F.desc("kind"), "begin", "entity_id")
     return hit.withColumn("rank", F.row_number().over(w)).where("rank = 1").select("probe_id", "file_id", "offset", "begin", "end", "kind", "entity_id")
 
 
+def chunks_at(chunks: DataFrame, probes: DataFrame, begin_tol: int = 0, end_tol: int = 0, width: int = 4096) -> DataFrame:
+    """Probes (probe_id, file_id, offset) with each chunk (file_id, begin, end, ..) that the click window overlaps, each
+    pair once, and low and high. All occurrences that a click hits lie in such chunks: only texts move, not occurrences."""
+    p = _bucketed(_windows(probes, begin_tol, end_tol), F.col("low"), F.col("high"), width)
+    k = _bucketed(chunks, F.col("begin"), F.col("end"), width)
+    # the probes are hashed, so texts needn't be sorted; of the blocks that both touch the first counts
+    j = k.join(p.hint("shuffle_hash"), ["file_id", "bucket"]).where((F.col("begin") < F.col("high")) & (F.col("low") < F.col("end")))
+    return j.where(F.floor(F.greatest("begin", "low") / width) == F.col("bucket")).drop("bucket")
+
+
 def range_at(ranges: DataFrame, probes: DataFrame, width: int = 4096) -> DataFrame:
     """For probes (probe_id, file_id, offset): begin and end of the smallest range that contains the offset, then the
     first; (0, 0) if there is none."""

@@ -70,6 +70,12 @@ def spark_relation(spark: SparkSession, sf_dir: str, name: str, cache: dict | No
     return df
 
 
+def relation_over(name: str, **inputs: DataFrame) -> DataFrame:
+    """A derived relation over other inputs than the driver's, its text the same."""
+    text = RELATIONS[name]
+    return next(iter(inputs.values())).sparkSession.sql(text if isinstance(text, str) else text[0], **inputs)
+
+
 def duck_sql(query: str) -> str:
     """A DuckDB query over {relations}, with the relations it uses in front as common table expressions."""
     order: list[str] = []

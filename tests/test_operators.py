@@ -304,3 +304,24 @@ def test_closure_of_all_files_takes_little_room(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/pairs")
     assert got.count() == got.distinct().count() == n * n + n + 1
     assert sum(p.stat().st_size for p in tmp_path.glob("pairs/*.parquet")) < 0.5 * n * n
+
+
+def test_clicks_are_looked_up_in_chunks_of_text(spark, sf):
+    """Words of chunks are the relation's; clicks hit what they hit among all occurrences; no window runs over all words."""
+    from skein.functions import positions
+    from skein.plans import catalog
+    from skein.plans.relations import relation_over
+
+    rng = random.Random(5)
+    texts = ["", "\n", " ", "a", "a b", " a\n\nb ", None, "é ü\nß", *[" ".join(rng.choice(["x", "", "word", "ö.", "y\nz"]) for _ in range(rng.randrange(900))) for _ in range(12)]]
+    docs = spark.createDataFrame([(i, t, 3000) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    token = relation_over("r_token", documents=docs)
+    rows = lambda df: sorted(map(tuple, df.select("file_id", "seq", "word", "n", "begin").collect()))
+    assert rows(positions.chunk_words(positions.word_chunks(docs, "doc_id"))) == rows(token)
+    R = {"documents": docs, "r_occ": relation_over("r_occ", r_token=token)}.__getitem__
+    some = lambda df: sorted(map(tuple, df.collect()))
+    want = lookups.occurrence_at(catalog.occ(R), catalog.probes(R), 0, 1)
+    assert want.count() and some(catalog.clicked(R)) == some(want)
+    for name in ("j2_occurrence_at", "flagship_click"):
+        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Window [") == 1, name
