@@ -44,10 +44,9 @@ def roots(script_uses: DataFrame, forced_definitions: DataFrame, gc_sections: bo
     return (out if gc_sections else out.union(forced_definitions.select("name"))).distinct()
 
 
-def _edges(defs: DataFrame, reqs: DataFrame, resolved: DataFrame) -> DataFrame:
-    """(src, dst): a name's sections of `defs` require dst, which is not resolved yet."""
-    e = defs.select("name", "section_id").join(reqs.select("section_id", F.col("name").alias("dst")), "section_id")
-    return e.select(F.col("name").alias("src"), "dst").distinct().join(resolved.select(F.col("name").alias("dst")).distinct(), "dst", "left_anti")
+def _open(edges: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(src, dst) of edges whose dst is not resolved yet."""
+    return edges.select("src", "dst").join(resolved.select(F.col("name").alias("dst")).distinct(), "dst", "left_anti").select("src", "dst")
 
 
 def _reached(names: DataFrame, edges: DataFrame) -> DataFrame:
@@ -60,16 +59,18 @@ def link_step(names: DataFrame, defs: DataFrame, reqs: DataFrame, linked: DataFr
     allowed sections; names: open ones; resolved: names that were required before, which are not required again."""
     names = names.select("name").distinct()
     strong = defs.where("tier = 0")
+    best = defs.groupBy("name").agg(F.min("tier").alias("best"))
+    tier = written(defs.join(best, "name").where("tier = best").select("name", "section_id", "tier"))
+    # a name's sections of its best tier require dst; strong ones are among them, so requirements are joined once
+    edges = written(tier.join(reqs.select("section_id", F.col("name").alias("dst")), "section_id").select(F.col("name").alias("src"), "dst", "tier").distinct())
     known = resolved.select("name").union(names).distinct()
-    first = _reached(names, _edges(strong, reqs, known))
+    first = _reached(names, _open(edges.where("tier = 0"), known))
     linked = written(linked.union(strong.join(first, "name", "left_semi").select("section_id")).distinct())
     known = written(known.union(first).distinct())
     # names that a linked section defines in whatever tier are not looked up again
     have = defs.join(linked, "section_id", "left_semi").select("name").distinct()
     again = written(first.join(have, "name", "left_anti"))
-    best = defs.groupBy("name").agg(F.min("tier").alias("best"))
-    tier = written(defs.join(best, "name").where("tier = best").select("name", "section_id"))
-    second = _reached(again, _edges(tier, reqs, known))
+    second = _reached(again, _open(edges, known))
     linked = written(linked.union(tier.join(second, "name", "left_semi").select("section_id")).distinct())
     return linked, written(known.union(second).distinct()), written(second.join(tier.select("name").distinct(), "name", "left_anti"))
 
