@@ -60,7 +60,8 @@ def tracked_stream(changes: DataFrame, requests: DataFrame, key: str = "file_id"
     """A stream of occurrence changes (.., key, kind, op) -> those of tracked files or entities and kinds (key, mask): a
     join of the stream with the table of requests. Masks of several requests for one key add up."""
     want = requests.groupBy(key).agg(F.bit_or(F.col("mask").cast("long")).alias("mask"))
-    j = changes.join(want, key)
+    # the requests are hashed, so a task sorts no changes, however many it has
+    j = changes.join(want.hint("shuffle_hash"), key)
     return j.where(F.expr("bit_get(mask, kind) = 1")).drop("mask")
 
 
