@@ -32,8 +32,9 @@ def definition_sections(defs: DataFrame, section_occ: DataFrame, sections: DataF
     headers that include each other do no harm.
     """
     open_ = sections.join(files.where("allowed").select("file_id").distinct(), "file_id", "left_semi").select("section_id")
-    held = section_occ.select("section_id", "occ_id").distinct().join(open_, "section_id", "left_semi")
-    return defs.join(held, "occ_id").select("name", "section_id", "tier").distinct()
+    # what is looked up in is hashed and repeats go last, so a task sorts and gathers no occurrences before
+    held = section_occ.select("section_id", "occ_id").join(open_.hint("shuffle_hash"), "section_id", "left_semi")
+    return held.join(defs.hint("shuffle_hash"), "occ_id").select("name", "section_id", "tier").distinct()
 
 
 def roots(script_uses: DataFrame, forced_definitions: DataFrame, gc_sections: bool) -> DataFrame:
